@@ -9,9 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The same word separators for SQL and JVM regular expressions.
 SPACES = r"[ \t\n\r\x0B\f]+"
+WORD = r"[^ \t\n\r\x0B\f]+"
 WS = np.zeros(256, bool)
 WS[[32, 9, 10, 13, 11, 12]] = True
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -47,7 +49,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
     n = batch.num_rows
     if not n:
         return
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(lengths), 0
     while at < n:
         base = ends[at - 1] if at else 0
