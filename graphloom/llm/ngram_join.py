@@ -12,7 +12,13 @@ read off the lists. The boundary is the one of least cost, from the size histogr
 Candidates carry how many keys they share, which bounds their overlap from above; those that can still reach the
 threshold are checked on their full texts. No list, set or pair is capped.
 
-Postings travel as packed arrays of a bucket of the key space, so the shuffle holds 14 bytes a posting.
+Groups of near copies grow with the table, and pairs with the square of a group. So that only the result grows like
+that, sets are first put into blocks by star links between sets that share a minimum hash and look alike in a
+16-slot sketch. Pairs within a block are found by one task that gets every text of the block once (a block of more
+than ``BLOCK`` sets by tasks for pairs of its parts), as products of 0/1 matrices; the search above skips them. Any
+blocks give the same pairs, so the sketch decides only where a pair is found.
+
+Postings travel as packed arrays of a bucket of the key space, so the shuffle holds about 14 bytes a posting.
 
 Defined cases: null and blank texts have no set and no pair; a text of fewer words than n has one gram, all its words;
 ties at the threshold count as pairs; rows with a null id are left out; repeated rows of one id are one document (an id
@@ -25,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +49,10 @@ _PER_BUCKET = 500_000
 #: Above this many ids or edges the work is shuffled instead of broadcast or done on the driver.
 SMALL_SIDE = 500_000
 _MAX_PAIRS = 2_000_000
+#: Sets of a block that one task compares, and labels that are sent to every executor (16 bytes each).
+BLOCK = 4096
+_LABELS_SENT = 2_000_000
+_SLOTS, _LINKS, _ALIKE = 16, 4, 8
 
 
 def grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +107,20 @@ def profile(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 size = np.diff(np.concatenate([first, [len(of)]]))
                 sizes += np.bincount(np.minimum(size, _SIZES - 1), minlength=_SIZES)
                 sig = K.mix(np.add.reduceat(K.mix(gram + np.uint64(0x1234567)), first) + size.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[first])), pa.array(sig.view(np.int64)), pa.array(size), pa.nulls(len(first), pa.int32()), pa.nulls(len(first), pa.binary())], names=names)
+                value = K.mix(gram + np.uint64(0x7654321))
+                slot = value & np.uint64(_SLOTS - 1)
+                least = np.stack([np.minimum.reduceat(np.where(slot == np.uint64(i), value, np.uint64(2**64 - 1)), first) for i in range(_SLOTS)], 1)
+                short = (least >> np.uint64(8)).astype(np.uint16)
+                links = pa.FixedSizeListArray.from_arrays(pa.array(least[:, :_LINKS].astype(np.uint64).view(np.int64).ravel()), _LINKS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[first])), pa.array(sig.view(np.int64)), pa.array(size), pa.nulls(len(first), pa.int32()), pa.array([r.tobytes() for r in short], pa.binary()), links], names=names)
         if sizes.any():
             blocks = sketch.reshape(-1, 1 << _BLOCK_BITS)
             data = [sizes.tobytes(), *(b.tobytes() for b in blocks)]
             k = len(data)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(-1, k - 1), pa.int32()), pa.array(data, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(-1, k - 1), pa.int32()), pa.array(data, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], names=names)
 
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("sig", T.LongType()), T.StructField("size", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("sig", T.LongType()), T.StructField("size", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("links", T.ArrayType(T.LongType()))])
     names = schema.names
     return settle(docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema))
 
@@ -148,22 +164,24 @@ def choose_boundary(sizes: np.ndarray, partners: float, t: float) -> tuple[int,
     return at, float(light[at] + heavy[after[at]])
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, order: np.ndarray, boundary: int, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, order: np.ndarray, boundary: int, buckets: int, labels: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Packed (key, set, size, block) by bucket. labels: sorted signatures and their blocks, or None where the
+    documents carry their block in ``__label``."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(order)
+    shared = spark.sparkContext.broadcast((order, labels))
 
-    def pack(key: np.ndarray, sig: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    def pack(key: np.ndarray, sig: np.ndarray, size: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
         bucket = (key >> np.uint64(32)) % np.uint64(buckets)
         by = np.argsort(bucket.astype(np.int32), kind="stable")
-        bucket, key, sig, size = bucket[by].astype(np.int32), key[by].astype(np.uint32), sig[by], size[by]
+        bucket, key, sig, size, label = bucket[by].astype(np.int32), key[by].astype(np.uint32), sig[by], size[by], label[by]
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = np.concatenate([first[1:], [len(bucket)]])
         low, high = (size & 0xFFFF).astype(np.uint16), (size >> 16).astype(np.uint16)
-        data = [key[a:b].tobytes() + sig[a:b].tobytes() + low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(first, ends)]
+        data = [key[a:b].tobytes() + sig[a:b].tobytes() + low[a:b].tobytes() + high[a:b].tobytes() + label[a:b].tobytes() for a, b in zip(first, ends)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, held, count = shared.value, [], 0
+        (ranks, known), held, count = shared.value, [], 0
         for batch in batches:
             for part in _slices(batch, text_col):
                 of, gram = _sets(part, text_col, n, ranks)
@@ -173,12 +191,17 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, ord
                 size = np.diff(np.concatenate([first, [len(of)]]))
                 value = K.mix(gram + np.uint64(0x1234567))
                 sig = K.mix(np.add.reduceat(value, first) + size.astype(np.uint64))
+                if known is None:
+                    label = part.column("__label").fill_null(0).to_numpy().view(np.uint64)[of[first]]
+                else:
+                    at = np.minimum(np.searchsorted(known[0], sig), max(len(known[0]) - 1, 0))
+                    label = np.where(known[0][at] == sig, known[1][at], np.uint64(0)) if len(known[0]) else np.zeros(len(sig), np.uint64)
                 lane = np.repeat(np.arange(len(first)), size)
                 rank = np.arange(len(of)) - first[lane]
                 free = size - _needed(size, t)
                 # the inverted lists of large sets and of those that may match one
                 take = (rank < (free + 1)[lane]) & (size[lane] > boundary * t)
-                keys, sigs, many = [value[take]], [sig[lane[take]]], [size[lane[take]]]
+                keys, sigs, many, blocks = [value[take] & ~np.uint64(1)], [sig[lane[take]]], [size[lane[take]]], [label[lane[take]]]
                 # the 2-subsets of small sets
                 for s in np.unique(size[(size <= boundary) & (size > 1)]):
                     rows = first[size == s]
@@ -187,7 +210,8 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, ord
                     keys.append(K.join_hashes(value[rows[:, None] + i], value[rows[:, None] + j]).ravel() | np.uint64(1))
                     sigs.append(np.repeat(sig[lane[rows]], len(i)))
                     many.append(np.full(len(rows) * len(i), s))
-                held.append((np.concatenate(keys), np.concatenate(sigs), np.concatenate(many).astype(np.int64)))
+                    blocks.append(np.repeat(label[lane[rows]], len(i)))
+                held.append((np.concatenate(keys), np.concatenate(sigs), np.concatenate(many).astype(np.int64), np.concatenate(blocks)))
                 count += len(held[-1][0])
                 if count > 3_000_000:
                     yield pack(*(np.concatenate(x) for x in zip(*held)))
@@ -195,11 +219,13 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, ord
         if count:
             yield pack(*(np.concatenate(x) for x in zip(*held)))
 
-    return docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{text_col}`")).mapInArrow(run, "bucket int, data binary")
+    columns = [F.col(f"`{text_col}`"), *([F.col("__label")] if labels is None else [])]
+    return docs.where(F.col(f"`{id_col}`").isNotNull()).select(*columns).mapInArrow(run, "bucket int, data binary")
 
 
-def _meet(key: np.ndarray, sig: np.ndarray, size: np.ndarray, t: float, boundary: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of different sets under one key that sizes allow: signatures and sizes, the smaller set first."""
+def _meet(key: np.ndarray, sig: np.ndarray, size: np.ndarray, label: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of sets under one key, of different blocks, that sizes allow: whether the key is a subset, signatures and
+    sizes, the smaller set first."""
     by = np.argsort(key, kind="stable")
     key = key[by]
     same = key[1:] == key[:-1]
@@ -207,33 +233,39 @@ def _meet(key: np.ndarray, sig: np.ndarray, size: np.ndarray, t: float, boundary
     if not met.any():
         return
     key, by = key[met], by[met]
-    sig, size = sig[by], size[by]
-    by = np.lexsort((sig, size, key))
-    key, sig, size = key[by], sig[by], size[by]
+    sig, size, label = sig[by], size[by], label[by]
+    label = np.where(label == 0, sig, label)  # a set without a block is its own
+    by = np.lexsort((sig, label, key))
+    key, sig, size, label = key[by], sig[by], size[by], label[by]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
-    key, sig, size = key[fresh], sig[fresh], size[fresh]
-    # in a run of one key by size, partners are those up to size / t
-    place = (key.astype(np.uint64) << np.uint64(32)) | size.astype(np.uint64)
-    reach = (key.astype(np.uint64) << np.uint64(32)) | np.minimum(np.floor(size / t + 1e-9), 2**32 - 1).astype(np.uint64)
-    to = np.searchsorted(place, reach, "right")
-    many = to - np.arange(len(key)) - 1
-    at = 0
+    key, sig, size, label = key[fresh], sig[fresh], size[fresh], label[fresh]
+    # partners of a set are those of the later blocks under its key
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    end = np.repeat(ends, np.diff(ends, prepend=0))
+    blocks = np.append(np.flatnonzero((key[1:] != key[:-1]) | (label[1:] != label[:-1])) + 1, len(key))
+    start = np.repeat(blocks, np.diff(blocks, prepend=0))
+    many, at = end - start, 0
     total = np.cumsum(many)
     while at < len(key):
         base = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, base + _MAX_PAIRS, "right")))
-        a = np.repeat(np.arange(at, end), many[at:end])
+        to = max(at + 1, int(np.searchsorted(total, base + _MAX_PAIRS, "right")))
+        a = np.repeat(np.arange(at, to), many[at:to])
         if len(a):
-            b = a + 1 + np.arange(len(a)) - np.repeat(total[at:end] - many[at:end] - base, many[at:end])
-            yield sig[a], sig[b], size[a], size[b]
-        at = end
+            b = start[a] + np.arange(len(a)) - np.repeat(total[at:to] - many[at:to] - base, many[at:to])
+            x, y = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            near = x >= y * t - 1e-9
+            a, b = a[near], b[near]
+            swap = (size[a] > size[b]) | ((size[a] == size[b]) & (sig[a] > sig[b]))
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield (key[a] & 1).astype(bool), sig[a], sig[b], size[a], size[b]
+        at = to
 
 
 def _candidates(postings: DataFrame, t: float, boundary: int, buckets: int, parts: int) -> DataFrame:
-    def count(held: list) -> pa.RecordBatch:
+    def count(held: list) -> list:
         a, b, x, y, n = (np.concatenate(v) for v in zip(*held))
-        swap = (x == y) & (a > b)
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        if not len(a):
+            return [(a, b, x, y, n)]
         by = np.lexsort((b, a))
         a, b, x, y, n = a[by], b[by], x[by], y[by], n[by]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -243,22 +275,25 @@ def _candidates(postings: DataFrame, t: float, boundary: int, buckets: int, part
         a, b, x, y, n = held[0]
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(x), pa.array(y), pa.array(n)], names=["sig_a", "sig_b", "size_a", "size_b", "n"])
 
-    def bucket_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, sigs, sizes = [], [], []
+    def bucket_of(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+        out = ([], [], [], [])
         for data in blobs:
-            k = len(data) // 16
-            keys.append(np.frombuffer(data, np.uint32, k))
-            sigs.append(np.frombuffer(data[4 * k : 12 * k], np.uint64))
-            sizes.append(np.frombuffer(data, np.uint16, k, 12 * k).astype(np.int64) | np.frombuffer(data, np.uint16, k, 14 * k).astype(np.int64) << 16)
-        return np.concatenate(keys), np.concatenate(sigs), np.concatenate(sizes)
+            k = len(data) // 24
+            out[0].append(np.frombuffer(data, np.uint32, k))
+            out[1].append(np.frombuffer(data, np.uint64, k, 4 * k))
+            out[2].append(np.frombuffer(data, np.uint16, k, 12 * k).astype(np.int64) | np.frombuffer(data, np.uint16, k, 14 * k).astype(np.int64) << 16)
+            out[3].append(np.frombuffer(data, np.uint64, k, 16 * k))
+        return tuple(np.concatenate(x) for x in out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_n = [], 0
         for blobs in _groups(batches):
-            key, sig, size = bucket_of(blobs)
-            for a, b, x, y in _meet(key, sig, size, t, boundary):
-                held.append((a, b, x, y, np.ones(len(a), np.int64)))
-                held_n += len(a)
+            key, sig, size, label = bucket_of(blobs)
+            for subset, a, b, x, y in _meet(key, sig, size, label, t):
+                # two small sets on an inverted list are met by their subsets
+                own = subset | (y > boundary)
+                held.append((a[own], b[own], x[own], y[own], np.ones(int(own.sum()), np.int64)))
+                held_n += len(held[-1][0])
                 if held_n > _MAX_PAIRS:
                     held = count(held)
                     held_n = len(held[0][0])
@@ -320,31 +355,168 @@ def _jaccard(pairs: DataFrame, n: int, t: float, id_type: T.DataType) -> DataFra
     return pairs.select("doc_id_a", "doc_id_b", "text_a", "text_b").mapInArrow(run, schema)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
+def _blocks(heads: DataFrame, parts: int) -> DataFrame:
+    """(sig, label) of the sets that look like another: connected by star links under shared minimum hashes."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = head = vector = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, sigs = batch.column("key").to_numpy(), batch.column("sig").to_numpy()
+            vectors = np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint16).reshape(-1, _SLOTS)
+            first = np.flatnonzero(np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]]))
+            lead = np.searchsorted(first, np.arange(len(keys)), "right") - 1
+            leads, lead_vectors = sigs[first[np.maximum(lead, 0)]] if len(first) else np.full(len(keys), head), vectors[first[np.maximum(lead, 0)]] if len(first) else np.repeat(vector[None], len(keys), 0)
+            if head is not None and (lead < 0).any():
+                leads, lead_vectors = np.where(lead < 0, head, leads), np.where((lead < 0)[:, None], vector, lead_vectors)
+            key, head, vector = keys[-1], leads[-1], lead_vectors[-1]
+            alike = ((vectors == lead_vectors).sum(1) >= _ALIKE) & (sigs != leads)
+            yield pa.RecordBatch.from_arrays([pa.array(leads[alike]), pa.array(sigs[alike])], names=["doc_id_a", "doc_id_b"])
+
+    keyed = heads.select("sig", "data", F.posexplode("links").alias("slot", "least")).where("least <> -1").select(F.xxhash64("slot", "least").alias("key"), "sig", "data")
+    links = keyed.repartition(parts, "key").sortWithinPartitions("key", "sig").mapInArrow(link, "doc_id_a long, doc_id_b long").distinct()
+    return components(links).select(F.col("id").alias("sig"), F.col("head").alias("label"))
+
+
+def _within_blocks(rows: DataFrame, parts: int, n: int, t: float, id_type: T.DataType, block: int) -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard) of pairs of one block that reach the threshold, of rows (label, id, text)."""
+    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / block).alias("pieces"))
+    cut = rows.join(sizes, "label").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))
+    tasks = cut.withColumn("other", other).select("label", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "id", "piece", "text")
+
+    def compare(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(groups).combine_chunks()
+        ids, piece, i, j = (rows.column(c) for c in ("id", "piece", "i", "j"))
+        of, value = grams(rows.column("text"), n)
+        by = np.lexsort((value, of))
+        of, value = of[by], value[by]
+        fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (value[1:] != value[:-1])])
+        of, value = of[fresh], value[fresh]
+        at = np.searchsorted(of, np.arange(rows.num_rows + 1))
+        piece, split = piece.to_numpy(), (i.to_numpy() != j.to_numpy())
+        lo, left, right, score = 0, [], [], []
+        for group in groups:
+            hi = lo + group.num_rows
+            grams_, code, count = np.unique(value[at[lo] : at[hi]], return_inverse=True, return_counts=True)
+            size = np.diff(at[lo : hi + 1]).astype(np.float32)
+            row = of[at[lo] : at[hi]] - lo
+            both = np.zeros((hi - lo, hi - lo), np.float32)
+            shared = np.flatnonzero(count > 1)
+            place = np.full(len(grams_), -1)
+            place[shared] = np.arange(len(shared))
+            col = place[code]
+            row, col = row[col >= 0], col[col >= 0]
+            by = np.argsort(col, kind="stable")
+            row, col = row[by], col[by]
+            wide = max(256, (8 << 20) // (hi - lo))
+            for c in range(0, len(shared), wide):
+                a, b = np.searchsorted(col, [c, c + wide])
+                x = np.zeros((hi - lo, min(wide, len(shared) - c)), np.float32)
+                x[row[a:b], col[a:b] - c] = 1
+                both += x @ x.T
+            both /= size[:, None] + size[None, :] - both
+            keep = np.triu(both >= t - 1e-6, 1)
+            if split[lo]:
+                keep &= piece[lo:hi, None] != piece[None, lo:hi]
+            x, y = np.nonzero(keep)
+            # the overlap again from the float, exact as it is an integer
+            j32 = both[x, y].astype(float)
+            total = (size[x] + size[y]).astype(float)
+            overlap = np.round(j32 * total / (1 + j32))
+            left.append(x + lo)
+            right.append(y + lo)
+            score.append(overlap / (total - overlap))
+            lo = hi
+        x, y, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+        keep = score >= t - 1e-12
+        x, y, score = x[keep], y[keep], score[keep]
+        a, b = ids.take(pa.array(x)), ids.take(pa.array(y))
+        swap = pc.greater(a, b)
+        a, b = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
+        out = pa.table({"doc_id_a": a, "doc_id_b": b, "jaccard": pa.array(np.floor(score * 1e6 + 0.5) / 1e6)})
+        yield from out.filter(pc.not_equal(out.column(0), out.column(1))).combine_chunks().to_batches(max_chunksize=200_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, open_, groups, held = None, [], [], 0
+
+        def close() -> None:
+            nonlocal held
+            group = pa.Table.from_batches(open_).combine_chunks()
+            if group.num_rows > 1:  # repeated rows lie side by side
+                again = pc.and_(*(pc.equal(group.column(c).slice(1), group.column(c).slice(0, group.num_rows - 1)) for c in ("id", "text")))
+                if pc.any(again).as_py():
+                    group = group.filter(pa.concat_arrays([pa.array([True]), *pc.invert(again).chunks]))
+            if group.num_rows > 1:
+                groups.append(group)
+                held += group.nbytes
+
+        for batch in batches:
+            label, i, j = (batch.column(c).to_numpy() for c in ("label", "i", "j"))
+            if not len(label):
+                continue
+            new = np.concatenate([[(label[0], i[0], j[0]) != key], (label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            key = (label[-1], i[-1], j[-1])
+            edges = [0, *[e for e in np.flatnonzero(new).tolist() if e], len(label)]
+            for a, b in zip(edges, edges[1:]):
+                if new[a] and open_:
+                    close()
+                    open_ = []
+                    if held > K.CHUNK_BYTES:
+                        yield from compare(groups)
+                        groups, held = [], 0
+                open_.append(batch.slice(a, b - a))
+        if open_:
+            close()
+        if groups:
+            yield from compare(groups)
+
+    schema = T.StructType([T.StructField("doc_id_a", id_type), T.StructField("doc_id_b", id_type), T.StructField("jaccard", T.DoubleType())])
+    return tasks.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "id").mapInArrow(run, schema)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT) -> DataFrame:
     """Rows (doc_id_a, doc_id_b, jaccard): every pair of different sets with Jaccard at least t, by the least id of
     each set's class (doc_id_a < doc_id_b), and for each class its least id with each other member at 1.0."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    id_type = docs.schema[id_col].dataType
     rows = profile(docs, id_col, text_col, n)
     order, sizes, total, squares = _merged_sketch(rows)
     # mean number of sets that a gram occurrence meets, free of the sketch's collisions
     partners = max(0.0, squares - total * total / (1 << SKETCH_BITS)) / max(total, 1.0)
     boundary, postings = choose_boundary(sizes, partners, t)
     buckets = max(8, int(postings / _PER_BUCKET))
-    parts = min(buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))
-    members = rows.where("block IS NULL").select("id", "sig").distinct()
-    heads = members.groupBy("sig").agg(F.min("id").alias("head"))
-    equal = members.join(heads, "sig").where("id <> head").select(F.col("head").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    met = settle(_candidates(_postings(docs, id_col, text_col, n, t, order, boundary, buckets), t, boundary, buckets, parts))
+    sets = rows.where("block IS NULL")
+    members = sets.select("id", "sig").distinct()
+    heads = sets.groupBy("sig").agg(F.min("id").alias("head"), F.first("data").alias("data"), F.first("links").alias("links"))
+    equal = members.join(heads.select("sig", "head"), "sig").where("id <> head").select(F.col("head").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    labels = settle(_blocks(heads, parts))
+    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        few = ids.count() <= SMALL_SIDE
+        return texts.join(F.broadcast(ids) if few else ids, "id")
+
+    blocked = settle(heads.join(labels, "sig").select(F.col("head").alias("id"), "label"))
+    within = _within_blocks(texts_of(blocked), parts, n, t, id_type, block)
+    if labels.count() <= labels_sent:
+        known = labels.orderBy("sig").toPandas()
+        sig, label = known["sig"].to_numpy(np.int64).view(np.uint64), known["label"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(sig)
+        posted = _postings(docs, id_col, text_col, n, t, order, boundary, buckets, (sig[by], label[by]))
+    else:
+        by_id = members.join(labels, "sig").groupBy("id").agg(F.min("label").alias("__label"))
+        posted = _postings(texts.join(by_id, "id", "left"), "id", "text", n, t, order, boundary, buckets, None)
+    met = settle(_candidates(posted, t, boundary, buckets, min(buckets, max(parts, buckets // 4))))
     left, right = heads.select(F.col("sig").alias("sig_a"), F.col("head").alias("x")), heads.select(F.col("sig").alias("sig_b"), F.col("head").alias("y"))
     named = met.join(left, "sig_a").join(right, "sig_b").where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
     named = settle(named.distinct())
-    ids = named.select(F.col("doc_id_a").alias("id")).union(named.select("doc_id_b")).distinct()
-    few = ids.count() <= SMALL_SIDE
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    texts = texts.join(F.broadcast(ids) if few else ids, "id")
-    a, b = texts.select(F.col("id").alias("doc_id_a"), F.col("t").alias("text_a")), texts.select(F.col("id").alias("doc_id_b"), F.col("t").alias("text_b"))
-    near = _jaccard(named.join(a, "doc_id_a").join(b, "doc_id_b"), n, t, docs.schema[id_col].dataType)
-    return near.groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")).union(equal)
+    near = texts_of(settle(named.select(F.col("doc_id_a").alias("id")).union(named.select("doc_id_b")).distinct()))
+    a, b = near.select(F.col("id").alias("doc_id_a"), F.col("text").alias("text_a")), near.select(F.col("id").alias("doc_id_b"), F.col("text").alias("text_b"))
+    across = _jaccard(named.join(a, "doc_id_a").join(b, "doc_id_b"), n, t, id_type).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    return within.union(across).union(equal)
 
 
 def oracle(table: str = "documents", n: int = GRAM, t: float = THRESHOLD) -> str:
