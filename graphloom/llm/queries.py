@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, embed, ngram_join, packing, pii, quality, sharding, substring
+from . import bpe, dac, embed, media, media_fixture, ngram_join, packing, pii, quality, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_embedding_near_duplicates", embed.oracle())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_media_clips")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.clips(media_fixture.film(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id", "media")
