@@ -379,8 +379,24 @@ def _blocks(heads: DataFrame, parts: int) -> DataFrame:
     return components(links).select(F.col("id").alias("sig"), F.col("head").alias("label"))
 
 
-def _within_blocks(rows: DataFrame, parts: int, n: int, t: float, id_type: T.DataType, block: int) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard) of pairs of one block that reach the threshold, of rows (label, id, text)."""
+def _spanning(near: np.ndarray) -> np.ndarray:
+    """The pairs (i, j) of an upper triangle that link every member to the first of its connected component."""
+    both = near | near.T
+    head, n = np.arange(len(near)), len(near)
+    while True:
+        new = np.minimum(head, np.where(both, head[None, :], n).min(1, initial=n))
+        new = new[new]
+        if (new == head).all():
+            break
+        head = new
+    out = np.zeros_like(near)
+    out[head, np.arange(n)] = head != np.arange(n)
+    return out
+
+
+def _within_blocks(rows: DataFrame, parts: int, n: int, t: float, id_type: T.DataType, block: int, spanning: bool) -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard) of pairs of one block that reach the threshold, of rows (label, id, text); with
+    ``spanning`` a star for each connected component that a task sees instead of all its pairs."""
     sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / block).alias("pieces"))
     cut = rows.join(sizes, "label").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))
@@ -420,6 +436,15 @@ def _within_blocks(rows: DataFrame, parts: int, n: int, t: float, id_type: T.Dat
             keep = np.triu(both >= t - 1e-6, 1)
             if split[lo]:
                 keep &= piece[lo:hi, None] != piece[None, lo:hi]
+            if spanning:
+                exact = np.round(both * (size[:, None] + size[None, :]) / (1 + both))
+                keep &= exact / (size[:, None] + size[None, :] - exact) >= t - 1e-7
+                x, y = np.nonzero(_spanning(keep))
+                left.append(x + lo)
+                right.append(y + lo)
+                score.append(np.ones(len(x)))
+                lo = hi
+                continue
             x, y = np.nonzero(keep)
             # the overlap again from the float, exact as it is an integer
             j32 = both[x, y].astype(float)
@@ -476,9 +501,11 @@ def _within_blocks(rows: DataFrame, parts: int, n: int, t: float, id_type: T.Dat
     return tasks.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "id").mapInArrow(run, schema)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT, spanning: bool = False) -> DataFrame:
     """Rows (doc_id_a, doc_id_b, jaccard): every pair of different sets with Jaccard at least t, by the least id of
-    each set's class (doc_id_a < doc_id_b), and for each class its least id with each other member at 1.0."""
+    each set's class (doc_id_a < doc_id_b), and for each class its least id with each other member at 1.0.
+
+    With ``spanning``, rows that have the same connected components but not all pairs (see ``groups``)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType
@@ -500,7 +527,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return texts.join(F.broadcast(ids) if few else ids, "id")
 
     blocked = settle(heads.join(labels, "sig").select(F.col("head").alias("id"), "label"))
-    within = _within_blocks(texts_of(blocked), parts, n, t, id_type, block)
+    within = _within_blocks(texts_of(blocked), parts, n, t, id_type, block, spanning)
     if labels.count() <= labels_sent:
         known = labels.orderBy("sig").toPandas()
         sig, label = known["sig"].to_numpy(np.int64).view(np.uint64), known["label"].to_numpy(np.int64).view(np.uint64)
@@ -573,3 +600,23 @@ def components(edges: DataFrame, most_on_driver: int = SMALL_SIDE) -> DataFrame:
             roots = links.groupBy("b").agg(F.min("a").alias("root"))
             if links.join(roots.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
                 return heads.join(roots, F.col("head") == F.col("b"), "left").select("id", F.coalesce("root", "head").alias("head"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
+    """(id, head) of every document that has a near copy: the least id of its group, closed under the join's pairs."""
+    return components(jaccard_join(docs, id_col, text_col, n, t, spanning=True))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
+    """``docs`` with only the document of least id of each group, and one row of rows that repeat in all columns.
+
+    Documents with a null id, or without words, are kept.
+    """
+    gone = settle(groups(docs, id_col, text_col, n, t).where("id <> head").select(F.col("id").alias("__gone")))
+    few = gone.count() <= SMALL_SIDE
+    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")
+    again = settle(docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("__again")).count().where("count > 1").select("__again"))
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, left[id_col] == again["__again"], "left_semi").dropDuplicates()
+    return left.join(again, left[id_col] == again["__again"], "left_anti").unionByName(repeated)
