@@ -34,7 +34,7 @@ from . import kernels as K
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers; more are encoded anew in each batch they occur in.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 500_000
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
 
@@ -117,7 +117,7 @@ class Encoder:
                     x = self.split[x][1]
                     if x == limit:
                         break
-        if len(self.fits) < 2_000_000:
+        if len(self.fits) < 250_000:
             self.fits[first] = ok
         return ok
 
@@ -344,7 +344,7 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "token_ids", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.chunks(batch, text_col):
+            for part in K.chunks(batch, text_col, K.CHUNK_BYTES // 2):
                 texts = part.column(at)
                 ids, offsets = codec(path).encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null() if texts.null_count else None)
@@ -361,8 +361,8 @@ def decode(df: DataFrame, ids_col: str = "token_ids", out: str = "decoded", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 250):
+                part = batch.slice(k, 250)
                 lists = part.column(at)
                 offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
                 data, ends = decoder(path).decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)

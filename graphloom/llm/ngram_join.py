@@ -562,8 +562,7 @@ UNION ALL SELECT DISTINCT head, doc_id, 1.0::DOUBLE FROM classes WHERE head <> d
 def components(edges: DataFrame, most_on_driver: int = SMALL_SIDE) -> DataFrame:
     """(id, head) of every id in the edges (doc_id_a, doc_id_b): the least id of its connected component.
 
-    Few edges are merged on the driver; more by rounds that hook every head to the least head among its neighbours
-    and settle, until nothing changes.
+    Few edges are merged on the driver; more by rounds of large and small stars, each settled, until they are stable.
     """
     spark = edges.sparkSession
     pairs = settle(edges.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
@@ -583,23 +582,22 @@ def components(edges: DataFrame, most_on_driver: int = SMALL_SIDE) -> DataFrame:
             if a != b:
                 parent[max(a, b)] = min(a, b)
         return spark.createDataFrame([(x, find(x)) for x in list(parent)], out)
-    links = pairs
-    heads = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().select("id", F.col("id").alias("head"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    links, mark = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
     while True:
-        both = links.union(links.select("b", "a")).where("a <> b")
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("low"))
-        low = settle(low)
-        heads = settle(heads.join(low, F.col("head") == F.col("a"), "left").select("id", F.coalesce("low", "head").alias("head")))
-        step = links.join(low.withColumnRenamed("low", "la"), "a", "left").select("b", F.coalesce("la", "a").alias("la"))
-        step = step.join(low.select(F.col("a").alias("b"), F.col("low").alias("lb")), "b", "left").select(F.col("la").alias("a"), F.coalesce("lb", "b").alias("b"))
-        # a head that isn't a root yet stays linked to its root
-        links = settle(step.union(low.select("low", "a").where("low <> a")).where("a <> b").distinct())
-        if links.isEmpty():
-            return heads
-        if links.join(low, [links["b"] == low["a"], low["low"] == links["a"]], "left_anti").isEmpty():
-            roots = links.groupBy("b").agg(F.min("a").alias("root"))
-            if links.join(roots.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-                return heads.join(roots, F.col("head") == F.col("b"), "left").select("id", F.coalesce("root", "head").alias("head"))
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = settle(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+        links = settle(small.distinct())
+        # stars don't change any more
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == mark:
+            heads = links.groupBy("a").agg(F.min("b").alias("head"))
+            return ids.join(heads, F.col("id") == F.col("a"), "left").select("id", F.coalesce("head", "id").alias("head"))
+        mark = now
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
