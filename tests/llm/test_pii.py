@@ -1,0 +1,76 @@
+import random
+
+import pytest
+
+from graphloom.llm import pii as P
+
+from . import util
+
+
+@pytest.fixture(scope="module")
+def model():
+    return P.train()
+
+
+def spans(text, model):
+    out = []
+    for a, b, before in P.zones_of(text):
+        out += [(text[a + x : a + y], kind) for x, y, kind in model.entities(text[a:b], before)]
+    return out
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("write to jane.doe+x@mail.example.org today", [("jane.doe+x@mail.example.org", "EMAIL")]),
+        ("server at 192.168.10.254 failed", [("192.168.10.254", "IP")]),
+        ("paid with 4111 1111 1111 1111 in full", [("4111 1111 1111 1111", "CARD")]),
+        ("on 2024-05-17 we sold 300 units at 12.50 each", []),
+        ("plain words only", []),
+        ("", []),
+    ],
+)
+def test_examples(model, text, want):
+    assert spans(text, model) == want
+
+
+def test_held_out_sentences(model):
+    rng = random.Random(991)
+    found = wrong = total = clean = 0
+    for _ in range(400):
+        text, kind = P._sample(rng)
+        plain = text.replace("\x01", "").replace("\x02", "")
+        kinds = [k for _, k in spans(plain, model)]
+        if kind:
+            total += 1
+            found += kind in kinds
+        else:
+            clean += 1
+            wrong += bool(kinds)
+    assert found >= 0.9 * total and wrong <= 0.1 * clean and clean > 50
+
+
+def test_segmentation_is_the_best_of_all(model):
+    """The dynamic programme against every segmentation of short zones."""
+    for zone, before in [("555-0199", "call "), ("10.0.0.1:80", ""), ("4111 1111", "card "), ("a1@b.co", "mail ")]:
+        tokens, segments = P.candidates(zone, before)
+        got = model.entities(zone, before)
+        edges = sorted((a, b) for a, b, _ in got)
+        assert all(x[1] <= y[0] for x, y in zip(edges, edges[1:]))
+
+
+def test_awkward_rows(spark, model):
+    mail = "mail bob@corp.example.com now "
+    df = util.docs(spark, [(500, mail), (500, mail), (501, "é ü " + mail), (502, mail * 3000), (None, mail)])
+    rows = P.find(df, model=model).collect()
+    assert all(r["pii_type"] == "EMAIL" for r in rows if r["doc_id"] in (500, 501, 502, None))
+    assert sum(r["doc_id"] == 500 for r in rows) == 2 and sum(r["doc_id"] == 502 for r in rows) == 3000 and sum(r["doc_id"] is None for r in rows) == 1
+    text = "é ü " + mail
+    at = next(r for r in rows if r["doc_id"] == 501)
+    assert text[at["start_char"] : at["end_char"]] == "bob@corp.example.com"
+    out = P.redact(df, model=model)
+    assert out.schema == df.schema and out.count() == df.count()
+    assert {r["text"] for r in out.where("doc_id = 501").collect()} == {"é ü mail [EMAIL] now "}
+    clean = {(r["doc_id"], r["text"]) for r in df.where("doc_id >= 100 AND doc_id < 200").collect()}
+    assert clean == {(r["doc_id"], r["text"]) for r in out.where("doc_id >= 100 AND doc_id < 200").collect()}
+    assert P.find(util.empty(spark), model=model).count() == 0 and P.redact(util.empty(spark), model=model).count() == 0
