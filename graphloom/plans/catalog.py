@@ -1,8 +1,6 @@
 """Operator catalogue: query name -> plan, and query name -> equivalent SQL."""
 
-from __future__ import annotations
+from graphloom.plans import documents, graphs, ranking, streams
+from graphloom.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "documents", "graphs", "ranking", "streams"]
