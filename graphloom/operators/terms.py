@@ -210,7 +210,7 @@ def related(docs: DataFrame, k: int = 3, most: float | None = None, id_col: str
     ids = w.select("doc_id").distinct()
     first = ids.orderBy("doc_id").limit(2 * k + 1).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))
     short = ids.select(F.col("doc_id").alias("a")).join(have, "a", "left").where(F.coalesce(F.size("has"), F.lit(0)) < k).crossJoin(F.broadcast(first))
-    fill = short.select("a", F.explode(F.array_except(F.array_remove(F.col("first"), F.col("a")), F.coalesce("has", F.array().cast("array<bigint>")))).alias("b"), F.lit(round(2**0.5, 6)).alias("distance"))
+    fill = short.select("a", F.explode(F.array_except(F.array_remove(F.col("first"), F.col("a")), F.coalesce("has", F.array().cast(ids.select(F.array("doc_id").alias("x")).schema["x"].dataType)))).alias("b"), F.lit(round(2**0.5, 6)).alias("distance"))
     both = near.select("a", "b", "distance").unionByName(fill).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
     if most is not None:
         both = both.where(F.col("distance") <= most)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _late(events: DataFrame, ts: str, delay: str) -> DataFrame:
-    return events.withWatermark(ts, delay) if events.isStreaming else events
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
