@@ -101,8 +101,16 @@ class KnowledgeGraph:
         return rdf.diagram({"mermaid": rdf.mermaid, "dot": rdf.dot}[kind](self.triples), kind)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, kind: str = "ntriples") -> KnowledgeGraph:
-        return KnowledgeGraph({"ntriples": rdf.read_ntriples, "turtle": rdf.read_turtle, "jsonld": rdf.read_jsonld}[kind](spark, path))
+    def load(spark: SparkSession, path: str, kind: str | None = None) -> KnowledgeGraph:
+        """A saved graph; without ``kind`` the path's extension tells the format."""
+        return KnowledgeGraph(rdf.read(spark, path, kind))
+
+    @staticmethod
+    def load_directory(spark: SparkSession, path: str) -> KnowledgeGraph:
+        return KnowledgeGraph(rdf.read_directory(spark, path))
+
+    def snapshot(self) -> tuple[DataFrame, DataFrame]:
+        return rdf.snapshot(self.triples)
 
 
 @dataclass
