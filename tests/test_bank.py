@@ -97,7 +97,7 @@ def test_sections_chunks_links(bank):
         documents.front_matter("---\ntitle: x\n")
 
 
-@pytest.mark.parametrize("kind", ["ntriples", "turtle", "jsonld"])
+@pytest.mark.parametrize("kind", ["ntriples", "turtle", "jsonld", "xml"])
 def test_saved_graphs_load_again(spark, bank, tmp_path, kind):
     odd = triples.of_rows(spark, [("kb:x", "schema:name", 'say "hi"\n\\ there'), ("kb:x", "kb:size", 4), ("kb:x", "kb:ok", True)])
     g = bank.graph.merge(KnowledgeGraph(odd))
@@ -105,6 +105,20 @@ def test_saved_graphs_load_again(spark, bank, tmp_path, kind):
     assert facts(KnowledgeGraph.load(spark, f"{tmp_path}/{kind}", kind).triples) == facts(g.triples)
 
 
+def test_graph_files_of_all_formats_are_one_graph(spark, tmp_path):
+    (tmp_path / "a.nq").write_text('<urn:a> <urn:p> "1" <urn:g> .\n# note\n<urn:a> <urn:p> <urn:b> .\n')
+    (tmp_path / "b.trig").write_text('@prefix e: <urn:> .\nGRAPH e:g { e:a e:q "x"@en . }\ne:h { e:a e:p e:b }\n')
+    (tmp_path / "c.rdf").write_text('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="urn:"><e:T rdf:about="urn:c"><e:p><rdf:Description><e:q>y</e:q></rdf:Description></e:p></e:T></rdf:RDF>')
+    (tmp_path / "d.md").write_text("no graph")
+    g = KnowledgeGraph.load_directory(spark, str(tmp_path))
+    assert {("urn:a", "urn:p", "1"), ("urn:a", "urn:p", "urn:b"), ("urn:a", "urn:q", "x"), ("urn:c", triples.TYPE, "urn:T")} <= facts(g.triples)
+    assert g.triples.count() == 6
+    nodes, edges = g.snapshot()
+    assert edges.count() == 6 and nodes.where("id = 'urn:c'").first()["kind"] == "iri"
+    with pytest.raises(ValueError):
+        rdf.kind_of("x.md")
+
+
 def test_turtle_syntax():
     got = rdf.parse_turtle('@prefix e: <urn:e:> .\ne:a a e:T ; e:p "x"@en, 4 ; e:q [ e:r true ] .\n<urn:e:b> e:p e:a .')
     assert ("urn:e:a", "iri", "urn:e:p", "x", "literal", None, "en") in got and ("urn:e:b", "iri", "urn:e:p", "urn:e:a", "iri", None, None) in got and len(got) == 6
