@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import search, shapes, triples
+from graphloom.operators import entities, search, shapes, triples
 from graphloom.operators.triples import BASE, PREFIXES, iri
 from graphloom.plans.registry import query, table
 from graphloom.sparql import Engine
@@ -278,6 +278,24 @@ def citations(spark, sf_dir):
     return search.citations(matches, triples.corpus(spark, sf_dir), k=5)
 
 
+@query("entity_search", f"SELECT '{BASE}supplier/' || s_suppkey AS node_id, s_name AS name, '{KB}Supplier' AS types FROM supplier WHERE contains(lower(s_name), '7') UNION ALL SELECT '{BASE}customer/' || c_custkey, c_name, '{KB}Customer' FROM customer WHERE contains(lower(c_name), '7') UNION ALL SELECT '{BASE}nation/' || n_nationkey, n_name, '{KB}Nation' FROM nation WHERE contains(lower(n_name), '7')")
+def entity_search(spark, sf_dir):
+    return entities.entities(triples.star(spark, sf_dir), "7", k=None)
+
+
+@query("article_search", f"SELECT '{BASE}document/' || doc_id AS node_id, min(trim(string_split(text, chr(10))[1])) AS name, '{iri('schema:Article')}' AS types FROM documents WHERE contains(lower(trim(string_split(text, chr(10))[1])), 'ther') GROUP BY doc_id")
+def article_search(spark, sf_dir):
+    return entities.articles(triples.corpus(spark, sf_dir), "ther", k=None)
+
+
+@query("articles_by_entity", f"SELECT '{BASE}document/' || doc_id AS node_id, min(trim(string_split(text, chr(10))[1])) AS name FROM documents WHERE lower(lang) = 'fr' GROUP BY doc_id")
+def articles_by_entity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    doc, lang = triples.node("document", F.col("doc_id")), triples.node("lang", F.col("lang"))
+    g = triples.union(triples.corpus(spark, sf_dir), triples.branch(docs, doc, "schema:about", lang, link=True), triples.branch(docs.select("lang").distinct(), lang, "schema:name", F.col("lang")))
+    return entities.articles_by_entity(g, "FR", k=None)
+
+
 # -- shapes
 
 _BASE_DOC = f"'{BASE}document/' || doc_id AS focus"
