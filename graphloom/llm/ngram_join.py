@@ -501,11 +501,8 @@ def _within_blocks(rows: DataFrame, parts: int, n: int, t: float, id_type: T.Dat
     return tasks.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "id").mapInArrow(run, schema)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT, spanning: bool = False) -> DataFrame:
-    """Rows (doc_id_a, doc_id_b, jaccard): every pair of different sets with Jaccard at least t, by the least id of
-    each set's class (doc_id_a < doc_id_b), and for each class its least id with each other member at 1.0.
-
-    With ``spanning``, rows that have the same connected components but not all pairs (see ``groups``)."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, block: int, labels_sent: int, spanning: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``jaccard_join``: pairs of different sets by the heads of their classes, and heads with members."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType
@@ -543,7 +540,45 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = texts_of(settle(named.select(F.col("doc_id_a").alias("id")).union(named.select("doc_id_b")).distinct()))
     a, b = near.select(F.col("id").alias("doc_id_a"), F.col("text").alias("text_a")), near.select(F.col("id").alias("doc_id_b"), F.col("text").alias("text_b"))
     across = _jaccard(named.join(a, "doc_id_a").join(b, "doc_id_b"), n, t, id_type).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-    return within.union(across).union(equal)
+    return within.union(across), equal
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT, spanning: bool = False) -> DataFrame:
+    """Rows (doc_id_a, doc_id_b, jaccard): every pair of different sets with Jaccard at least t, by the least id of
+    each set's class (doc_id_a < doc_id_b), and for each class its least id with each other member at 1.0.
+
+    With ``spanning``, rows that have the same connected components but not all pairs (see ``groups``)."""
+    near, equal = _joined(docs, id_col, text_col, n, t, block, labels_sent, spanning)
+    return near.union(equal)
+
+
+def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT, sent: int = SMALL_SIDE) -> DataFrame:
+    """Rows (doc_id_a, doc_id_b, jaccard): every pair of documents with Jaccard at least t, once (doc_id_a < doc_id_b).
+
+    The pairs of ``jaccard_join`` with every class written out: k equal documents are k(k-1)/2 rows, and each of them has
+    its own row with each near copy. Classes of up to ``sent`` documents in all are sent to the pairs; more are shuffled.
+    An id with several texts has with another id the best of their pairs."""
+    id_type = docs.schema[id_col].dataType
+    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    ordered = lambda a, b: (F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), "jaccard")
+    digest = F.xxhash64("text")
+    if not texts.groupBy("id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").isEmpty():
+        own = texts.select(F.concat(F.sha2("text", 256), F.col("id").cast("string")).alias("id"), "text")
+        a, b = (F.substr(c, F.lit(65)).cast(id_type) for c in ("doc_id_a", "doc_id_b"))
+        named = all_pairs(own, "id", "text", n, t, block, labels_sent, sent).select(*ordered(a, b))
+        return named.where("doc_id_a <> doc_id_b").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    near, equal = _joined(docs, id_col, text_col, n, t, block, labels_sent, False)
+    copies = settle(equal.select(F.col("doc_id_a").alias("head"), F.col("doc_id_b").alias("id")))
+    members = copies.union(copies.select("head", F.col("head").alias("id")).distinct())
+    few = copies.count() <= sent
+    a, b = (members.select(F.col("head").alias(f"head_{c}"), F.col("id").alias(f"id_{c}")) for c in "ab")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alike = a.repartition(parts, "id_a") if few else a
+    a, b = (F.broadcast(x) if few else x for x in (a, b))
+    wide = near.join(a, F.col("doc_id_a") == F.col("head_a"), "left").join(b, F.col("doc_id_b") == F.col("head_b"), "left")
+    wide = wide.select(*ordered(F.coalesce("id_a", "doc_id_a"), F.coalesce("id_b", "doc_id_b")))
+    same = alike.join(b, (F.col("head_a") == F.col("head_b")) & (F.col("id_a") < F.col("id_b"))).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    return wide.union(same)
 
 
 def oracle(table: str = "documents", n: int = GRAM, t: float = THRESHOLD) -> str:
@@ -559,6 +594,18 @@ SELECT doc_id_a, doc_id_b, round(both_n / (sum_n - both_n)::DOUBLE, 6) AS jaccar
 UNION ALL SELECT DISTINCT head, doc_id, 1.0::DOUBLE FROM classes WHERE head <> doc_id"""
 
 
+def oracle_all(table: str = "documents", n: int = GRAM, t: float = THRESHOLD) -> str:
+    """Every document against every other, without classes."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(n))
+    return rf"""
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\v\f]+'), lambda x: x <> '') AS w FROM {table} WHERE doc_id IS NOT NULL),
+sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}) END)) AS g FROM split WHERE len(w) > 0),
+flat AS (SELECT doc_id, hash(g) AS own, len(g) AS n, unnest(g) AS gram FROM sets),
+met AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS both_n, any_value(a.n) + any_value(b.n) AS sum_n
+        FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id < b.doc_id AND a.n >= {t} * b.n AND b.n >= {t} * a.n GROUP BY a.doc_id, b.doc_id, a.own, b.own)
+SELECT doc_id_a, doc_id_b, round(max(both_n / (sum_n - both_n)::DOUBLE), 6) AS jaccard FROM met WHERE both_n / (sum_n - both_n)::DOUBLE >= {t} - 1e-12 GROUP BY 1, 2"""
+
+
 def components(edges: DataFrame, most_on_driver: int = SMALL_SIDE) -> DataFrame:
     """(id, head) of every id in the edges (doc_id_a, doc_id_b): the least id of its connected component.
 

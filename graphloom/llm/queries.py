@@ -50,6 +50,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query("op6_all_pairs", ngram_join.oracle_all())
+def op6_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
+
+
 @query("op10_substring", substring.oracle())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))

@@ -1,0 +1,37 @@
+import itertools
+
+import pytest
+
+from graphloom.llm import ngram_join as J
+
+from . import util
+from .test_ngram_join import copies, gram_set
+
+
+def brute(rows, n, t):
+    """Every document against every other."""
+    pairs = {}
+    sets = sorted({(i, gram_set(text, n)) for i, text in rows if i is not None and gram_set(text, n)}, key=lambda x: x[0])
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if a != b and (j := len(x & y) / len(x | y)) >= t - 1e-12:
+            pairs[a, b] = max(j, pairs.get((a, b), 0))
+    return pairs
+
+
+@pytest.mark.parametrize("seed,short,t,n,sent,several", [(1, False, 0.55, 3, J.SMALL_SIDE, False), (2, True, 0.55, 3, 0, False), (3, False, 0.55, 3, J.SMALL_SIDE, True)])
+def test_every_pair_of_documents(spark, seed, short, t, n, sent, several):
+    extra = copies(seed, short=short)
+    # five equal documents and a near copy of them: rows between those that aren't the least id
+    extra += [(5000 + i, "a b c d e f g h i j k l m n o p q r s t") for i in range(5)] + [(5010, "a b c d e f g h i j k l m n o p q r s z")]
+    if several:  # ids with two texts
+        extra += [(5000, "one two three four five six seven"), (5020, "one two three four five six seven"), (5021, "one two three four five six seven eight")]
+    df = util.docs(spark, extra)
+    got = [tuple(r) for r in J.all_pairs(df, n=n, t=t, sent=sent).collect()]
+    want = brute([(r["doc_id"], r["text"]) for r in df.collect()], n, t)
+    assert len(got) == len({r[:2] for r in got})
+    assert {r[:2] for r in got} == want.keys() and {(5003, 5004), (5004, 5010)} <= want.keys()
+    assert all(abs(j - want[a, b]) < 1e-6 for a, b, j in got)
+
+
+def test_no_documents(spark):
+    assert J.all_pairs(util.empty(spark)).count() == 0
