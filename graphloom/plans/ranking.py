@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import terms, vectors
-from graphloom.plans.registry import query, table
+from graphloom.plans.registry import ORACLES, query, table
 
 ASKED = "the theran inen stel"
 MISSPELT = "therre inenn stelp erane"
@@ -133,6 +133,11 @@ def related_segments(spark, sf_dir):
     return terms.related(table(spark, sf_dir, "benchmark"), id_col="item_id")
 
 
+@query("related_documents", ORACLES["related_segments"].replace("item_id AS doc_id", "doc_id").replace("FROM benchmark", "FROM documents"))
+def related_documents(spark, sf_dir):
+    return terms.related(table(spark, sf_dir, "documents"))
+
+
 @query("keyphrases_topk", r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}]+(?:[-''][\p{L}\p{M}\p{Nd}]+)*') AS w FROM documents),
 r AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k),
