@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import documents, triples
 from graphloom.operators.triples import BASE, PREFIXES, iri
+from graphloom.plans.graph_sql import GRAPH
 from graphloom.plans.registry import query, table
 from graphloom.sources import rdf
 from graphloom.streaming import ingest
@@ -120,6 +121,35 @@ def edge_order(spark, sf_dir):
     return rdf.numbered_edges(_nations(spark, sf_dir))
 
 
+def _graph(spark, sf_dir):
+    return triples.union(triples.star(spark, sf_dir), triples.corpus(spark, sf_dir))
+
+
+_QUOTED = lambda c: f"""replace(replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"""
+_SHORT = "CASE " + " ".join(f"WHEN starts_with(p, '{v}') THEN '{k}:' || substr(p, {len(v) + 1})" for k, v in sorted(PREFIXES.items(), key=lambda x: -len(x[1]))) + " ELSE p END"
+
+
+@query("ntriples_graph", f"""
+WITH {GRAPH} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN dt IS NULL THEN '<' || o || '>' ELSE '"' || {_QUOTED("o")} || '"' || CASE WHEN dt = 'string' THEN '' ELSE '^^<{triples.XSD}' || dt || '>' END END || ' .' AS value FROM g""")
+def ntriples_graph(spark, sf_dir):
+    return rdf.ntriples(_graph(spark, sf_dir))
+
+
+@query("mermaid_graph", f"""WITH {GRAPH} SELECT '  n' || substr(sha256(s), 1, 12) || '["' || s || '"] -->|' || {_SHORT} || '| n' || substr(sha256(o), 1, 12) || '["' || o || '"]' AS value FROM g WHERE dt IS NULL""")
+def mermaid_graph(spark, sf_dir):
+    return rdf.mermaid(_graph(spark, sf_dir))
+
+
+@query("dot_graph", f"""WITH {GRAPH} SELECT '  "' || s || '" -> "' || o || '" [label="' || {_SHORT} || '"];' AS value FROM g WHERE dt IS NULL""")
+def dot_graph(spark, sf_dir):
+    return rdf.dot(_graph(spark, sf_dir))
+
+
+@query("edge_order_graph", f"WITH {GRAPH} SELECT row_number() OVER (ORDER BY s, p, o) AS n, s, p, o FROM g WHERE dt IS NULL")
+def edge_order_graph(spark, sf_dir):
+    return rdf.numbered_edges(_graph(spark, sf_dir))
+
+
 @query("curies", f"SELECT DISTINCT '{PREFIXES['kb']}' || p_type AS type, 'kb:' || p_type AS short FROM part")
 def curies(spark, sf_dir):
     kinds = table(spark, sf_dir, "part").select(F.concat(F.lit(PREFIXES["kb"]), "p_type").alias("type")).distinct()
