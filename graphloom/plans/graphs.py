@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import entities, search, shapes, triples
 from graphloom.operators.triples import BASE, PREFIXES, iri
+from graphloom.plans.graph_sql import GRAPH
 from graphloom.plans.registry import query, table
 from graphloom.sparql import Engine
 
@@ -197,6 +198,14 @@ def graph_merge(spark, sf_dir):
     return triples.merge(names, names).agg(F.count("*").alias("n"))
 
 
+@query("graph_merge_whole", f"WITH {GRAPH} SELECT DISTINCT s, p, o, dt FROM g")
+def graph_merge_whole(spark, sf_dir):
+    # the second graph shares the corpus with the first, and lines of one order can repeat
+    whole = triples.union(triples.star(spark, sf_dir), triples.corpus(spark, sf_dir))
+    merged = triples.merge(whole, triples.corpus(spark, sf_dir))
+    return merged.select("s", "p", "o", F.replace("o_dt", F.lit(triples.XSD), F.lit("")).alias("dt"))
+
+
 # -- inference
 
 
@@ -215,6 +224,11 @@ def skos_broader(spark, sf_dir):
     return triples.skos(used).where(F.col("p") == iri("kb:memberOf")).select("s", "o")
 
 
+@query("skos_star", f"SELECT DISTINCT '{BASE}supplier/' || s_suppkey AS s, '{iri('kb:memberOf')}' AS p, '{BASE}region/' || n_regionkey AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT DISTINCT '{BASE}customer/' || c_custkey, '{iri('kb:memberOf')}', '{BASE}region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def skos_star(spark, sf_dir):
+    return triples.skos(triples.star(spark, sf_dir)).select("s", "p", "o")
+
+
 @query("rule_head", f"SELECT DISTINCT '{BASE}conversation/' || conv_id AS s, '{BASE}turn/' || conv_id || '-' || turn AS o FROM conversations a WHERE EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1 AND b.role = 'user')")
 def rule_head(spark, sf_dir):
     from graphloom.operators import rules
