@@ -94,6 +94,16 @@ def edit_distance_join(spark, sf_dir):
     return terms.within_edits(vocabulary, terms.terms_of(MISSPELT), 2).select("query_term", "term", "distance")
 
 
+# the SQL function counts bytes; the asked terms are ASCII, so any other character of a term can be one byte that none of them has
+@query("edit_distance_all", f"""
+WITH t AS ({_TOKENS}), v AS (SELECT DISTINCT unnest(toks) AS term FROM t), q(query_term) AS (VALUES {_values(MISSPELT)}),
+c AS (SELECT query_term, term, levenshtein(regexp_replace(term, '[^a-z0-9]', '_', 'g'), query_term) AS distance FROM v, q WHERE length(term) >= 4 AND length(query_term) >= 4 AND abs(length(term) - length(query_term)) <= 2)
+SELECT * FROM c WHERE distance <= 2""")
+def edit_distance_all(spark, sf_dir):
+    vocabulary = terms.document_frequency(table(spark, sf_dir, "documents"))
+    return terms.within_edits(vocabulary, terms.terms_of(MISSPELT), 2).select("query_term", "term", "distance")
+
+
 @query("fuzzy_corrections", f"""{_VOCABULARY},
 n AS (SELECT *, levenshtein(term, query_term) AS d FROM v, q WHERE length(term) >= 4 AND length(query_term) >= 4 AND abs(length(term) - length(query_term)) <= 1 AND levenshtein(term, query_term) <= 1),
 s AS (SELECT query_term, term, round(1 - d / greatest(length(term), length(query_term))::DOUBLE, 6) AS similarity, frequency FROM n WHERE query_term NOT IN (SELECT query_term FROM n WHERE d = 0))
