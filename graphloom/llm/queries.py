@@ -38,6 +38,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id")
 
 
+@query("op7_whole_rows", sharding.oracle("documents", "doc_id", "doc_id, text, lang, source, n_chars"))
+def op7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.laid_out(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query("op9_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

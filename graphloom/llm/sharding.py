@@ -43,11 +43,15 @@ def assign_shards(df: DataFrame, key: str, shards: Mapping[int, float] = SHARDS,
     return df.select("*", rendezvous(F.col(f"`{key}`"), shards).alias(out))
 
 
-def write_shards(df: DataFrame, key: str, path: str, shards: Mapping[int, float] = SHARDS, out: str = "shard_id", files: int = 1) -> None:
-    """One directory a shard, each of ``files`` files; one shuffle, salted so that a shard isn't a single task."""
-    salted = assign_shards(df, key, shards, out)
+def laid_out(df: DataFrame, key: str, shards: Mapping[int, float] = SHARDS, out: str = "shard_id", files: int = 1) -> DataFrame:
+    """Whole rows moved to the tasks of their shards; one shuffle, salted so that a shard isn't a single task."""
     salt = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(files))
-    salted.repartition(len(shards) * files, out, salt).write.mode("overwrite").partitionBy(out).parquet(path)
+    return assign_shards(df, key, shards, out).repartition(len(shards) * files, out, salt)
+
+
+def write_shards(df: DataFrame, key: str, path: str, shards: Mapping[int, float] = SHARDS, out: str = "shard_id", files: int = 1) -> None:
+    """One directory a shard, each of ``files`` files; the rows of ``laid_out``."""
+    laid_out(df, key, shards, out, files).write.mode("overwrite").partitionBy(out).parquet(path)
 
 
 def oracle(table: str, key: str, columns: str, shards: Mapping[int, float] = SHARDS) -> str:
