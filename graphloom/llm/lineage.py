@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder is set only where that is unset, as on one machine."""
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder if all runs in this process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jsc = spark.sparkContext._jsc.sc()
         at = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -37,3 +40,8 @@ def settle(df: DataFrame, *partition_by: str) -> DataFrame:
     df.write.partitionBy(*partition_by).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 and so on, so that no name of its own, dotted or clashing, matters."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -1,9 +1,9 @@
 """Exact Jaccard self-join of documents on their sets of word n-grams.
 
-Documents with the same set form a class and only one of a class takes part in the search; the others are joined to
-it as equal. Grams are put in one global order, rarest first, by a count sketch over the whole table. A set of size s
-that reaches the threshold T with another shares at least ceil(T * s) grams with it, so any two such sets share k of
-the first s - ceil(T * s) + k grams of either (k = 1, 2).
+A document is a distinct (id, text). Documents with the same set form a class and only one of a class, its head, takes
+part in the search. Grams are put in one global order, rarest first, by a count sketch over the whole table. A set of
+size s that reaches the threshold T with another shares at least ceil(T * s) grams with it, so any two such sets share
+k of the first s - ceil(T * s) + k grams of either (k = 1, 2).
 
 The join is size-aware. Sets of at most ``boundary`` grams are small: they list all 2-subsets of their 2-prefix, and
 two small sets are candidates if they list a subset in common. Larger sets scan inverted lists: the 1-prefix grams of
@@ -12,17 +12,21 @@ read off the lists. The boundary is the one of least cost, from the size histogr
 Candidates carry how many keys they share, which bounds their overlap from above; those that can still reach the
 threshold are checked on their full texts. No list, set or pair is capped.
 
-Groups of near copies grow with the table, and pairs with the square of a group. So that only the result grows like
-that, sets are first put into blocks by star links between sets that share a minimum hash and look alike in a
-16-slot sketch. Pairs within a block are found by one task that gets every text of the block once (a block of more
-than ``BLOCK`` sets by tasks for pairs of its parts), as products of 0/1 matrices; the search above skips them. Any
-blocks give the same pairs, so the sketch decides only where a pair is found.
+Groups of near copies grow with the table, and pairs with the square of a group. So sets are first put into blocks by
+star links between sets that share a minimum hash and look alike in a 16-slot sketch. Pairs within a block are found
+by tasks for pairs of its pieces (of at most ``BLOCK`` sets and ``PIECE_GRAMS`` grams), as products of 0/1 matrices;
+the search above skips them. Any blocks give the same pairs, so the sketch decides only where a pair is found.
+
+``links``, the registered form, returns a row a document: its group and with how many others it reaches the threshold.
+A task counts and joins the pairs it finds and hands on a row a set, so no group is written out as pairs.
+``jaccard_join`` lists the pairs of heads, for callers that need the values.
 
 Postings travel as packed arrays of a bucket of the key space, so the shuffle holds about 14 bytes a posting.
 
-Defined cases: null and blank texts have no set and no pair; a text of fewer words than n has one gram, all its words;
-ties at the threshold count as pairs; rows with a null id are left out; repeated rows of one id are one document (an id
-is never paired with itself); an empty table gives no pairs; only id and text are read, so other columns can't clash.
+Defined cases: null and blank texts have no set and no row; a text of fewer words than n has one gram, all its words;
+ties at the threshold count; rows with a null id are left out; rows that repeat id and text are one document; rows of
+one id with different texts are documents of their own, each judged by its own text; an empty table gives no rows; only
+id and text are read, so other columns can't clash, and names may hold dots.
 """
 
 from __future__ import annotations
@@ -37,22 +41,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .lineage import settle
+from .lineage import positional, settle
 
 GRAM = 3
 THRESHOLD = 0.55
-#: Counters of the sketch: it orders grams and estimates cost, so its size bounds no result.
-SKETCH_BITS = 20
+#: Least and greatest number of counters of the sketch (as powers of two, four a document in between). It orders grams
+#: and estimates cost, so its size bounds no result.
+SKETCH_BITS, _MOST_SKETCH_BITS = 20, 22
 _BLOCK_BITS = 14
 _SIZES = 4096  # sets of this size or more share the last entry of the histogram
 _PER_BUCKET = 500_000
 #: Above this many ids or edges the work is shuffled instead of broadcast or done on the driver.
 SMALL_SIDE = 500_000
 _MAX_PAIRS = 2_000_000
-#: Sets of a block that one task compares, and labels that are sent to every executor (16 bytes each).
+#: Sets and grams of a piece of a block, of which a task gets two, and labels sent to every executor (16 bytes each).
 BLOCK = 4096
+PIECE_GRAMS = 2_000_000
 _LABELS_SENT = 2_000_000
 _SLOTS, _LINKS, _ALIKE = 16, 4, 8
+_STRIPE = 512
 
 
 def grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +82,9 @@ def _sets(part: pa.RecordBatch, column: str, n: int, order: np.ndarray | None) -
     """Distinct (text index, 44-bit gram) by text and rank in the order; at most 4096 texts."""
     of, value = grams(part.column(column), n)
     short = value >> np.uint64(20)
-    rank = order[(short >> np.uint64(44 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(44) if order is not None else np.uint64(0)
+    rank = np.uint64(0)
+    if order is not None:
+        rank = order[(short >> np.uint64(44 - (len(order) - 1).bit_length())).astype(np.int64)].astype(np.uint64) << np.uint64(44)
     both = np.unique((of.astype(np.uint64) << np.uint64(52)) | rank | short)
     return (both >> np.uint64(52)).astype(np.int64), both & np.uint64((1 << 44) - 1)
 
@@ -90,42 +99,52 @@ def _needed(size: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(size * t - 1e-9).astype(np.int64)
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Settled rows: of each document its set's signature and size; of each task blocks of the sketch and sizes."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, text) of the rows with an id; th is a hash of the text that tells texts of one id apart."""
+    text = F.col(f"`{text_col}`")
+    return docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def profile(texts: DataFrame, n: int, bits: int) -> DataFrame:
+    """Settled rows: of each document its set's signature (two 64-bit sums) and size; of each task blocks of the sketch
+    and sizes."""
+    shift = np.uint64(44 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, sizes = np.zeros(1 << SKETCH_BITS, np.int32), np.zeros(_SIZES, np.int64)
+        sketch, sizes = np.zeros(1 << bits, np.int32), np.zeros(_SIZES, np.int64)
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in _slices(batch, text_col):
-                of, gram = _sets(part, text_col, n, None)
+            for part in _slices(batch, "text"):
+                of, gram = _sets(part, "text", n, None)
                 if not len(of):
                     continue
-                sketch += np.bincount((gram >> np.uint64(44 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+                sketch += np.bincount((gram >> shift).astype(np.int64), minlength=len(sketch)).astype(np.int32)
                 first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                 size = np.diff(np.concatenate([first, [len(of)]]))
                 sizes += np.bincount(np.minimum(size, _SIZES - 1), minlength=_SIZES)
                 sig = K.mix(np.add.reduceat(K.mix(gram + np.uint64(0x1234567)), first) + size.astype(np.uint64))
                 value = K.mix(gram + np.uint64(0x7654321))
+                check = K.mix(np.add.reduceat(value, first))
                 slot = value & np.uint64(_SLOTS - 1)
                 least = np.stack([np.minimum.reduceat(np.where(slot == np.uint64(i), value, np.uint64(2**64 - 1)), first) for i in range(_SLOTS)], 1)
                 short = (least >> np.uint64(8)).astype(np.uint16)
                 links = pa.FixedSizeListArray.from_arrays(pa.array(least[:, :_LINKS].astype(np.uint64).view(np.int64).ravel()), _LINKS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[first])), pa.array(sig.view(np.int64)), pa.array(size), pa.nulls(len(first), pa.int32()), pa.array([r.tobytes() for r in short], pa.binary()), links], names=names)
+                rows = pa.array(of[first])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(sig.view(np.int64)), pa.array(check.view(np.int64)), pa.array(size), pa.nulls(len(first), pa.int32()), pa.array([r.tobytes() for r in short], pa.binary()), links], names=names)
         if sizes.any():
             blocks = sketch.reshape(-1, 1 << _BLOCK_BITS)
             data = [sizes.tobytes(), *(b.tobytes() for b in blocks)]
             k = len(data)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(-1, k - 1), pa.int32()), pa.array(data, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *[pa.nulls(k, pa.int64())] * 4, pa.array(np.arange(-1, k - 1), pa.int32()), pa.array(data, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))], names=names)
 
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("sig", T.LongType()), T.StructField("size", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("links", T.ArrayType(T.LongType()))])
+    long = T.LongType()
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), *(T.StructField(c, long) for c in ("th", "sig", "check", "size")), T.StructField("block", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("links", T.ArrayType(long))])
     names = schema.names
-    return settle(docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema))
+    return settle(texts.mapInArrow(run, schema))
 
 
-def _merged_sketch(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
+def _merged_sketch(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Ranks of the counters (a byte each), the size histogram, the sum and the sum of squares of the counts."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -136,7 +155,7 @@ def _merged_sketch(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, floa
 
     merged = rows.where("block IS NOT NULL").select("block", "data").groupBy("block").applyInArrow(add, "block int, data binary, n double, squares double").collect()
     by = {r["block"]: r for r in merged}
-    order = np.zeros(1 << SKETCH_BITS, np.uint8)
+    order = np.zeros(1 << bits, np.uint8)
     sizes = np.zeros(_SIZES, np.int64)
     for block, r in by.items():
         if block < 0:
@@ -164,10 +183,10 @@ def choose_boundary(sizes: np.ndarray, partners: float, t: float) -> tuple[int,
     return at, float(light[at] + heavy[after[at]])
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, order: np.ndarray, boundary: int, buckets: int, labels: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """Packed (key, set, size, block) by bucket. labels: sorted signatures and their blocks, or None where the
-    documents carry their block in ``__label``."""
-    spark = docs.sparkSession
+def _postings(texts: DataFrame, n: int, t: float, order: np.ndarray, boundary: int, buckets: int, labels: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """Packed (key, set, size, block) by bucket; a task sends a set once however many copies of it it meets.
+    labels: sorted signatures and their blocks, or None where the texts carry their block in ``label``."""
+    spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((order, labels))
 
     def pack(key: np.ndarray, sig: np.ndarray, size: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
@@ -181,18 +200,28 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, ord
         return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ranks, known), held, count = shared.value, [], 0
+        (ranks, known), held, count, sent = shared.value, [], 0, np.zeros(0, np.uint64)
         for batch in batches:
-            for part in _slices(batch, text_col):
-                of, gram = _sets(part, text_col, n, ranks)
+            for part in _slices(batch, "text"):
+                of, gram = _sets(part, "text", n, ranks)
                 if not len(of):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                 size = np.diff(np.concatenate([first, [len(of)]]))
                 value = K.mix(gram + np.uint64(0x1234567))
                 sig = K.mix(np.add.reduceat(value, first) + size.astype(np.uint64))
+                fresh = np.zeros(len(sig), bool)
+                fresh[np.unique(sig, return_index=True)[1]] = True
+                fresh &= ~np.isin(sig, sent)
+                if not fresh.all():
+                    use = np.repeat(fresh, size)
+                    of, gram, value, sig, size = of[use], gram[use], value[use], sig[fresh], size[fresh]
+                    if not len(of):
+                        continue
+                    first = np.cumsum(size) - size
+                sent = np.concatenate([sent, sig])
                 if known is None:
-                    label = part.column("__label").fill_null(0).to_numpy().view(np.uint64)[of[first]]
+                    label = part.column("label").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)[of[first]]
                 else:
                     at = np.minimum(np.searchsorted(known[0], sig), max(len(known[0]) - 1, 0))
                     label = np.where(known[0][at] == sig, known[1][at], np.uint64(0)) if len(known[0]) else np.zeros(len(sig), np.uint64)
@@ -219,8 +248,7 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, ord
         if count:
             yield pack(*(np.concatenate(x) for x in zip(*held)))
 
-    columns = [F.col(f"`{text_col}`"), *([F.col("__label")] if labels is None else [])]
-    return docs.where(F.col(f"`{id_col}`").isNotNull()).select(*columns).mapInArrow(run, "bucket int, data binary")
+    return texts.select("text", *(["label"] if labels is None else [])).mapInArrow(run, "bucket int, data binary")
 
 
 def _meet(key: np.ndarray, sig: np.ndarray, size: np.ndarray, label: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, ...]]:
@@ -326,8 +354,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
+_KEYS = ["id_a", "th_a", "id_b", "th_b"]
+
+
+def _pairs_of(id_type: T.DataType) -> T.StructType:
+    """Two documents and a value: their Jaccard, or what a task counted for the first of them."""
+    kinds = [id_type, T.LongType(), id_type, T.LongType(), T.DoubleType()]
+    return T.StructType([T.StructField(c, k) for c, k in zip([*_KEYS, "value"], kinds)])
+
+
 def _jaccard(pairs: DataFrame, n: int, t: float, id_type: T.DataType) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard) of rows (doc_id_a, doc_id_b, text_a, text_b) that reach the threshold."""
+    """The rows of pairs (with text_a and text_b) that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,10 +386,9 @@ def _jaccard(pairs: DataFrame, n: int, t: float, id_type: T.DataType) -> DataFra
                     score = both / np.maximum(union, 1)
                     keep = np.flatnonzero(score >= t - 1e-12)
                     rows = pa.array(keep)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.floor(score[keep] * 1e6 + 0.5) / 1e6)], names=["doc_id_a", "doc_id_b", "jaccard"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in _KEYS), pa.array(np.floor(score[keep] * 1e6 + 0.5) / 1e6)], names=[*_KEYS, "value"])
 
-    schema = T.StructType([T.StructField("doc_id_a", id_type), T.StructField("doc_id_b", id_type), T.StructField("jaccard", T.DoubleType())])
-    return pairs.select("doc_id_a", "doc_id_b", "text_a", "text_b").mapInArrow(run, schema)
+    return pairs.select(*_KEYS, "text_a", "text_b").mapInArrow(run, _pairs_of(id_type))
 
 
 def _blocks(heads: DataFrame, parts: int) -> DataFrame:
@@ -379,103 +415,117 @@ def _blocks(heads: DataFrame, parts: int) -> DataFrame:
     return components(links).select(F.col("id").alias("sig"), F.col("head").alias("label"))
 
 
-def _spanning(near: np.ndarray) -> np.ndarray:
-    """The pairs (i, j) of an upper triangle that link every member to the first of its connected component."""
-    both = near | near.T
-    head, n = np.arange(len(near)), len(near)
+def _stars(keep: np.ndarray, same: bool) -> np.ndarray:
+    """Of rows and columns of a 0/1 matrix, one after the other (or of the rows alone where both are the ``same``), the
+    first member of the connected component, as its place among them."""
+    m, k = keep.shape
+    head = np.arange(m if same else m + k)
+    base = 0 if same else m
     while True:
-        new = np.minimum(head, np.where(both, head[None, :], n).min(1, initial=n))
+        new = head.copy()
+        for at in range(0, m, _STRIPE):
+            to = min(m, at + _STRIPE)
+            part = keep[at:to]
+            new[at:to] = np.minimum(new[at:to], np.where(part, head[None, base : base + k], len(head)).min(1, initial=len(head)))
+            if not same:
+                new[m:] = np.minimum(new[m:], np.where(part, head[at:to, None], len(head)).min(0, initial=len(head)))
         new = new[new]
         if (new == head).all():
-            break
+            return head
         head = new
-    out = np.zeros_like(near)
-    out[head, np.arange(n)] = head != np.arange(n)
-    return out
 
 
-def _within_blocks(rows: DataFrame, parts: int, n: int, t: float, id_type: T.DataType, block: int, spanning: bool) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard) of pairs of one block that reach the threshold, of rows (label, id, text); with
-    ``spanning`` a star for each connected component that a task sees instead of all its pairs."""
-    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / block).alias("pieces"))
-    cut = rows.join(sizes, "label").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")))
+def _overlaps(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """Numbers of shared grams between the sets of one piece, or of two; a piece is (row of each gram, gram, rows)."""
+    left, right, wide = parts[0], parts[-1], sum(p[2] for p in parts)
+    _, code, count = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared] = np.arange(len(shared))
+    both = np.zeros((left[2], right[2]), np.float32)
+    sides, lo = [], 0
+    for row, gram, _ in parts:
+        col = place[code[lo : lo + len(gram)]]
+        lo += len(gram)
+        row, col = row[col >= 0], col[col >= 0]
+        by = np.argsort(col, kind="stable")
+        sides.append((row[by], col[by]))
+    step = max(256, (8 << 20) // max(1, wide))
+    for c in range(0, len(shared), step):
+        made = []
+        for (row, col), (_, _, rows) in zip(sides, parts):
+            a, b = np.searchsorted(col, [c, c + step])
+            x = np.zeros((rows, min(step, len(shared) - c)), np.float32)
+            x[row[a:b], col[a:b] - c] = 1
+            made.append(x)
+        both += made[0] @ made[-1].T
+    return both
+
+
+def _within_blocks(blocked: DataFrame, texts: DataFrame, few: bool, parts: int, n: int, t: float, id_type: T.DataType, block: int, count: bool) -> DataFrame:
+    """Rows of ``_pairs_of`` for the sets of blocked (id, th, label, weight, size): pairs of one block that reach the
+    threshold, or with ``count`` of each set of a task that has such pairs the first of its component in the task and
+    the weight of its partners."""
+    need_pieces = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / PIECE_GRAMS))
+    sizes = blocked.groupBy("label").agg(need_pieces.alias("pieces"))
+    cut = blocked.join(sizes, "label").withColumn("piece", F.pmod(F.xxhash64("id", "th"), F.col("pieces")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))
-    tasks = cut.withColumn("other", other).select("label", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "id", "piece", "text")
+    tasks = cut.withColumn("other", other).select("label", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "id", "th", "piece", "weight")
+    tasks = texts.join(F.broadcast(tasks) if few else tasks, ["id", "th"]).select("label", "i", "j", "piece", "id", "th", "weight", "text")
 
-    def compare(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        rows = pa.concat_tables(groups).combine_chunks()
-        ids, piece, i, j = (rows.column(c) for c in ("id", "piece", "i", "j"))
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, th, piece = rows.column("id"), rows.column("th"), rows.column("piece").to_numpy()
+        weight = rows.column("weight").to_numpy().astype(float)
         of, value = grams(rows.column("text"), n)
         by = np.lexsort((value, of))
         of, value = of[by], value[by]
         fresh = np.concatenate([[True], (of[1:] != of[:-1]) | (value[1:] != value[:-1])])
         of, value = of[fresh], value[fresh]
         at = np.searchsorted(of, np.arange(rows.num_rows + 1))
-        piece, split = piece.to_numpy(), (i.to_numpy() != j.to_numpy())
-        lo, left, right, score = 0, [], [], []
-        for group in groups:
-            hi = lo + group.num_rows
-            grams_, code, count = np.unique(value[at[lo] : at[hi]], return_inverse=True, return_counts=True)
-            size = np.diff(at[lo : hi + 1]).astype(np.float32)
-            row = of[at[lo] : at[hi]] - lo
-            both = np.zeros((hi - lo, hi - lo), np.float32)
-            shared = np.flatnonzero(count > 1)
-            place = np.full(len(grams_), -1)
-            place[shared] = np.arange(len(shared))
-            col = place[code]
-            row, col = row[col >= 0], col[col >= 0]
-            by = np.argsort(col, kind="stable")
-            row, col = row[by], col[by]
-            wide = max(256, (8 << 20) // (hi - lo))
-            for c in range(0, len(shared), wide):
-                a, b = np.searchsorted(col, [c, c + wide])
-                x = np.zeros((hi - lo, min(wide, len(shared) - c)), np.float32)
-                x[row[a:b], col[a:b] - c] = 1
-                both += x @ x.T
-            both /= size[:, None] + size[None, :] - both
-            keep = np.triu(both >= t - 1e-6, 1)
-            if split[lo]:
-                keep &= piece[lo:hi, None] != piece[None, lo:hi]
-            if spanning:
-                exact = np.round(both * (size[:, None] + size[None, :]) / (1 + both))
-                keep &= exact / (size[:, None] + size[None, :] - exact) >= t - 1e-7
-                x, y = np.nonzero(_spanning(keep))
-                left.append(x + lo)
-                right.append(y + lo)
-                score.append(np.ones(len(x)))
-                lo = hi
-                continue
+        size = np.diff(at).astype(float)
+        split = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        m = int(np.searchsorted(piece, piece[0], "right"))
+        if split and m == rows.num_rows:
+            return
+        bounds = [(0, m), (m, rows.num_rows)] if split else [(0, rows.num_rows)]
+        both = _overlaps([(of[at[a] : at[b]] - a, value[at[a] : at[b]], b - a) for a, b in bounds])
+        (a, b), (c, d) = bounds[0], bounds[-1]
+        keep = np.zeros(both.shape, bool)
+        for k in range(0, b - a, _STRIPE):
+            total = size[a + k : min(b, a + k + _STRIPE), None] + size[None, c:d]
+            # overlap / (total - overlap) >= t
+            keep[k : k + _STRIPE] = both[k : k + _STRIPE] >= t / (1 + t) * total - 1e-9
+        if not split:
+            np.fill_diagonal(keep, False)
+        if count:
+            sums = keep @ weight[c:d] if len(keep) else np.zeros(0)
+            if split:
+                sums = np.concatenate([sums, weight[a:b] @ keep])
+            x = np.flatnonzero(sums > 0)
+            y, score = _stars(keep, not split)[x], sums[x]
+        else:
             x, y = np.nonzero(keep)
-            # the overlap again from the float, exact as it is an integer
-            j32 = both[x, y].astype(float)
-            total = (size[x] + size[y]).astype(float)
-            overlap = np.round(j32 * total / (1 + j32))
-            left.append(x + lo)
-            right.append(y + lo)
-            score.append(overlap / (total - overlap))
-            lo = hi
-        x, y, score = np.concatenate(left), np.concatenate(right), np.concatenate(score)
-        keep = score >= t - 1e-12
-        x, y, score = x[keep], y[keep], score[keep]
-        a, b = ids.take(pa.array(x)), ids.take(pa.array(y))
-        swap = pc.greater(a, b)
-        a, b = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
-        out = pa.table({"doc_id_a": a, "doc_id_b": b, "jaccard": pa.array(np.floor(score * 1e6 + 0.5) / 1e6)})
-        yield from out.filter(pc.not_equal(out.column(0), out.column(1))).combine_chunks().to_batches(max_chunksize=200_000)
+            if not split:
+                x, y = x[x < y], y[x < y]
+            total = size[x + a] + size[y + c]
+            score = both[x, y] / (total - both[x, y])
+            score = np.floor(score * 1e6 + 0.5) / 1e6
+            y = y + c
+        x, y = pa.array(x), pa.array(y)
+        out = pa.table([ids.take(x), th.take(x), ids.take(y), th.take(y), pa.array(score, pa.float64())], names=[*_KEYS, "value"])
+        yield from out.combine_chunks().to_batches(max_chunksize=200_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, open_, groups, held = None, [], [], 0
+        key, open_ = None, []
 
-        def close() -> None:
-            nonlocal held
+        def close() -> Iterator[pa.RecordBatch]:
             group = pa.Table.from_batches(open_).combine_chunks()
             if group.num_rows > 1:  # repeated rows lie side by side
-                again = pc.and_(*(pc.equal(group.column(c).slice(1), group.column(c).slice(0, group.num_rows - 1)) for c in ("id", "text")))
+                again = pc.and_(*(pc.equal(group.column(c).slice(1), group.column(c).slice(0, group.num_rows - 1)) for c in ("id", "th")))
                 if pc.any(again).as_py():
-                    group = group.filter(pa.concat_arrays([pa.array([True]), *pc.invert(again).chunks]))
+                    group = group.filter(pa.chunked_array([pa.array([True]), *pc.invert(again).chunks])).combine_chunks()
             if group.num_rows > 1:
-                groups.append(group)
-                held += group.nbytes
+                yield from compare(group)
 
         for batch in batches:
             label, i, j = (batch.column(c).to_numpy() for c in ("label", "i", "j"))
@@ -486,124 +536,108 @@ def _within_blocks(rows: DataFrame, parts: int, n: int, t: float, id_type: T.Dat
             edges = [0, *[e for e in np.flatnonzero(new).tolist() if e], len(label)]
             for a, b in zip(edges, edges[1:]):
                 if new[a] and open_:
-                    close()
+                    yield from close()
                     open_ = []
-                    if held > K.CHUNK_BYTES:
-                        yield from compare(groups)
-                        groups, held = [], 0
                 open_.append(batch.slice(a, b - a))
         if open_:
-            close()
-        if groups:
-            yield from compare(groups)
+            yield from close()
 
-    schema = T.StructType([T.StructField("doc_id_a", id_type), T.StructField("doc_id_b", id_type), T.StructField("jaccard", T.DoubleType())])
-    return tasks.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "id").mapInArrow(run, schema)
+    return tasks.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j", "piece", "id", "th").mapInArrow(run, _pairs_of(id_type))
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, block: int, labels_sent: int, spanning: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``jaccard_join``: pairs of different sets by the heads of their classes, and heads with members."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, block: int, labels_sent: int, count: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members (sig, check, id, th), heads (sig, check, id, th, weight: documents of the class), the rows of
+    ``_within_blocks``, and the other pairs of heads that reach the threshold, once each."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_type = docs.schema[id_col].dataType
-    rows = profile(docs, id_col, text_col, n)
-    order, sizes, total, squares = _merged_sketch(rows)
+    id_type = docs.schema.fields[docs.columns.index(id_col)].dataType
+    texts = _keyed(docs, id_col, text_col)
+    many = max(1, docs.select(F.col(f"`{id_col}`")).count())
+    bits = int(min(_MOST_SKETCH_BITS, max(SKETCH_BITS, 2 + np.ceil(np.log2(many)))))
+    rows = profile(texts, n, bits)
+    order, sizes, total, squares = _merged_sketch(rows, bits)
     # mean number of sets that a gram occurrence meets, free of the sketch's collisions
-    partners = max(0.0, squares - total * total / (1 << SKETCH_BITS)) / max(total, 1.0)
+    partners = max(0.0, squares - total * total / (1 << bits)) / max(total, 1.0)
     boundary, postings = choose_boundary(sizes, partners, t)
     buckets = max(8, int(postings / _PER_BUCKET))
-    sets = rows.where("block IS NULL")
-    members = sets.select("id", "sig").distinct()
-    heads = sets.groupBy("sig").agg(F.min("id").alias("head"), F.first("data").alias("data"), F.first("links").alias("links"))
-    equal = members.join(heads.select("sig", "head"), "sig").where("id <> head").select(F.col("head").alias("doc_id_a"), F.col("id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    # repeated rows go first and by all keys, so that a large class is counted before it is moved
+    each = rows.where("block IS NULL").groupBy("sig", "check", "id", "th").agg(F.first("size").alias("size"), F.first("data").alias("data"), F.first("links").alias("links"))
+    heads = each.groupBy("sig", "check").agg(F.min(F.struct("id", "th")).alias("own"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("data").alias("data"), F.first("links").alias("links"))
+    heads = settle(heads.select("sig", "check", F.col("own.id").alias("id"), F.col("own.th").alias("th"), "weight", "size", "data", "links"))
     labels = settle(_blocks(heads, parts))
-    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        few = ids.count() <= SMALL_SIDE
-        return texts.join(F.broadcast(ids) if few else ids, "id")
-
-    blocked = settle(heads.join(labels, "sig").select(F.col("head").alias("id"), "label"))
-    within = _within_blocks(texts_of(blocked), parts, n, t, id_type, block, spanning)
+    small = heads.select("sig", "check", "id", "th", "weight")
+    few = labels.count() <= SMALL_SIDE
+    blocked = settle(heads.join(labels, "sig").select("id", "th", "label", "weight", "size"))
+    within = _within_blocks(blocked, texts, few, parts, n, t, id_type, block, count)
     if labels.count() <= labels_sent:
-        known = labels.orderBy("sig").toPandas()
+        known = labels.toPandas()
         sig, label = known["sig"].to_numpy(np.int64).view(np.uint64), known["label"].to_numpy(np.int64).view(np.uint64)
         by = np.argsort(sig)
-        posted = _postings(docs, id_col, text_col, n, t, order, boundary, buckets, (sig[by], label[by]))
+        posted = _postings(texts, n, t, order, boundary, buckets, (sig[by], label[by]))
     else:
-        by_id = members.join(labels, "sig").groupBy("id").agg(F.min("label").alias("__label"))
-        posted = _postings(texts.join(by_id, "id", "left"), "id", "text", n, t, order, boundary, buckets, None)
+        by_text = rows.where("block IS NULL").join(labels, "sig").groupBy("id", "th").agg(F.min("label").alias("label"))
+        posted = _postings(texts.join(by_text, ["id", "th"], "left"), n, t, order, boundary, buckets, None)
     met = settle(_candidates(posted, t, boundary, buckets, min(buckets, max(parts, buckets // 4))))
-    left, right = heads.select(F.col("sig").alias("sig_a"), F.col("head").alias("x")), heads.select(F.col("sig").alias("sig_b"), F.col("head").alias("y"))
-    named = met.join(left, "sig_a").join(right, "sig_b").where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
-    named = settle(named.distinct())
-    near = texts_of(settle(named.select(F.col("doc_id_a").alias("id")).union(named.select("doc_id_b")).distinct()))
-    a, b = near.select(F.col("id").alias("doc_id_a"), F.col("text").alias("text_a")), near.select(F.col("id").alias("doc_id_b"), F.col("text").alias("text_b"))
-    across = _jaccard(named.join(a, "doc_id_a").join(b, "doc_id_b"), n, t, id_type).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-    return within.union(across), equal
+    left, right = (small.select(F.col("sig").alias(f"sig_{c}"), F.struct("id", "th").alias(f"own_{c}")) for c in "ab")
+    named = met.join(left, "sig_a").join(right, "sig_b").where("own_a <> own_b").select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).distinct()
+    named = settle(named.select(*(F.col(f"{c}.{k}").alias(f"{k}_{c}") for c in "ab" for k in ("id", "th"))))
+    ends = settle(named.select(F.col("id_a").alias("id"), F.col("th_a").alias("th")).union(named.select("id_b", "th_b")).distinct())
+    near = texts.join(F.broadcast(ends) if ends.count() <= SMALL_SIDE else ends, ["id", "th"]).dropDuplicates(["id", "th"])
+    a, b = (near.select(F.col("id").alias(f"id_{c}"), F.col("th").alias(f"th_{c}"), F.col("text").alias(f"text_{c}")) for c in "ab")
+    across = _jaccard(named.join(a, ["id_a", "th_a"]).join(b, ["id_b", "th_b"]), n, t, id_type)
+    return each.select("sig", "check", "id", "th"), small, within, across
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT, spanning: bool = False) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT) -> DataFrame:
     """Rows (doc_id_a, doc_id_b, jaccard): every pair of different sets with Jaccard at least t, by the least id of
     each set's class (doc_id_a < doc_id_b), and for each class its least id with each other member at 1.0.
 
-    With ``spanning``, rows that have the same connected components but not all pairs (see ``groups``)."""
-    near, equal = _joined(docs, id_col, text_col, n, t, block, labels_sent, spanning)
-    return near.union(equal)
-
-
-def all_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT, sent: int = SMALL_SIDE) -> DataFrame:
-    """Rows (doc_id_a, doc_id_b, jaccard): every pair of documents with Jaccard at least t, once (doc_id_a < doc_id_b).
-
-    The pairs of ``jaccard_join`` with every class written out: k equal documents are k(k-1)/2 rows, and each of them has
-    its own row with each near copy. Classes of up to ``sent`` documents in all are sent to the pairs; more are shuffled.
-    An id with several texts has with another id the best of their pairs."""
-    id_type = docs.schema[id_col].dataType
-    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    ordered = lambda a, b: (F.least(a, b).alias("doc_id_a"), F.greatest(a, b).alias("doc_id_b"), "jaccard")
-    digest = F.xxhash64("text")
-    if not texts.groupBy("id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").isEmpty():
-        own = texts.select(F.concat(F.sha2("text", 256), F.col("id").cast("string")).alias("id"), "text")
-        a, b = (F.substr(c, F.lit(65)).cast(id_type) for c in ("doc_id_a", "doc_id_b"))
-        named = all_pairs(own, "id", "text", n, t, block, labels_sent, sent).select(*ordered(a, b))
-        return named.where("doc_id_a <> doc_id_b").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-    near, equal = _joined(docs, id_col, text_col, n, t, block, labels_sent, False)
-    copies = settle(equal.select(F.col("doc_id_a").alias("head"), F.col("doc_id_b").alias("id")))
-    members = copies.union(copies.select("head", F.col("head").alias("id")).distinct())
-    few = copies.count() <= sent
-    a, b = (members.select(F.col("head").alias(f"head_{c}"), F.col("id").alias(f"id_{c}")) for c in "ab")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    alike = a.repartition(parts, "id_a") if few else a
-    a, b = (F.broadcast(x) if few else x for x in (a, b))
-    wide = near.join(a, F.col("doc_id_a") == F.col("head_a"), "left").join(b, F.col("doc_id_b") == F.col("head_b"), "left")
-    wide = wide.select(*ordered(F.coalesce("id_a", "doc_id_a"), F.coalesce("id_b", "doc_id_b")))
-    same = alike.join(b, (F.col("head_a") == F.col("head_b")) & (F.col("id_a") < F.col("id_b"))).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return wide.union(same)
+    An id with several texts has with another id the best of their pairs. Rows grow with the square of a group of near
+    copies; ``links`` doesn't."""
+    members, heads, within, across = _joined(docs, id_col, text_col, n, t, block, labels_sent, False)
+    equal = members.join(heads.select("sig", "check", F.col("id").alias("head")), ["sig", "check"]).select(F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("value"))
+    rows = within.union(across).select("id_a", "id_b", "value").union(equal).where("id_a <> id_b")
+    return rows.groupBy(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).agg(F.max("value").alias("jaccard"))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, block: int, labels_sent: int) -> DataFrame:
+    """(id, th, head: least (id, th) of the group, links) of every document that has a link."""
+    members, heads, within, across = _joined(docs, id_col, text_col, n, t, block, labels_sent, True)
+    within, across = settle(within), settle(across)
+    weights = heads.select(F.col("id").alias("id_b"), F.col("th").alias("th_b"), F.col("weight").alias("w_b"))
+    both = across.select(*_KEYS).union(across.select("id_b", "th_b", "id_a", "th_a"))
+    met = both.join(weights, ["id_b", "th_b"]).select("id_a", "th_a", F.col("w_b").cast("double").alias("value"))
+    counts = within.select("id_a", "th_a", "value").union(met).groupBy(F.col("id_a").alias("id"), F.col("th_a").alias("th")).agg(F.sum("value").cast("bigint").alias("partners"))
+    edges = within.union(across).select(F.struct(F.col("id_a").alias("id"), F.col("th_a").alias("th")).alias("doc_id_a"), F.struct(F.col("id_b").alias("id"), F.col("th_b").alias("th")).alias("doc_id_b"))
+    groups = components(edges).select(F.col("id.id").alias("id"), F.col("id.th").alias("th"), "head")
+    found = heads.join(counts, ["id", "th"], "left").join(groups, ["id", "th"], "left").where("weight > 1 OR partners > 0")
+    found = found.select("sig", "check", F.coalesce("head", F.struct("id", "th")).alias("head"), (F.col("weight") - 1 + F.coalesce("partners", F.lit(0))).alias("links"))
+    return members.join(found, ["sig", "check"]).select("id", "th", "head", "links")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD, block: int = BLOCK, labels_sent: int = _LABELS_SENT) -> DataFrame:
+    """Rows (doc_id, class_id, links), one for every document that has a link: with how many other documents its
+    Jaccard is at least t (copies among them), and the least id of its group, closed under such links."""
+    out = _linked(docs, id_col, text_col, n, t, block, labels_sent)
+    return out.select(F.col("id").alias("doc_id"), F.col("head.id").alias("class_id"), "links")
 
 
 def oracle(table: str = "documents", n: int = GRAM, t: float = THRESHOLD) -> str:
+    """The rows of ``links``."""
     gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(n))
     return rf"""
-WITH split AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\v\f]+'), lambda x: x <> '') AS w FROM {table} WHERE doc_id IS NOT NULL),
-sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}) END)) AS g FROM split WHERE len(w) > 0),
-classes AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS head FROM sets),
-flat AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM classes WHERE doc_id = head),
-met AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS both_n, any_value(a.n) + any_value(b.n) AS sum_n
-        FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id < b.doc_id AND a.n >= {t} * b.n AND b.n >= {t} * a.n GROUP BY 1, 2)
-SELECT doc_id_a, doc_id_b, round(both_n / (sum_n - both_n)::DOUBLE, 6) AS jaccard FROM met WHERE both_n / (sum_n - both_n)::DOUBLE >= {t} - 1e-12
-UNION ALL SELECT DISTINCT head, doc_id, 1.0::DOUBLE FROM classes WHERE head <> doc_id"""
-
-
-def oracle_all(table: str = "documents", n: int = GRAM, t: float = THRESHOLD) -> str:
-    """Every document against every other, without classes."""
-    gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(n))
-    return rf"""
-WITH split AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\v\f]+'), lambda x: x <> '') AS w FROM {table} WHERE doc_id IS NOT NULL),
-sets AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}) END)) AS g FROM split WHERE len(w) > 0),
-flat AS (SELECT doc_id, hash(g) AS own, len(g) AS n, unnest(g) AS gram FROM sets),
-met AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS both_n, any_value(a.n) + any_value(b.n) AS sum_n
-        FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id < b.doc_id AND a.n >= {t} * b.n AND b.n >= {t} * a.n GROUP BY a.doc_id, b.doc_id, a.own, b.own)
-SELECT doc_id_a, doc_id_b, round(max(both_n / (sum_n - both_n)::DOUBLE), 6) AS jaccard FROM met WHERE both_n / (sum_n - both_n)::DOUBLE >= {t} - 1e-12 GROUP BY 1, 2"""
+WITH RECURSIVE split AS (SELECT DISTINCT doc_id, text, list_filter(string_split_regex(text, '[ \t\n\r\v\f]+'), lambda x: x <> '') AS w FROM {table} WHERE doc_id IS NOT NULL),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}) END)) AS g FROM split WHERE len(w) > 0),
+classes AS (SELECT doc_id, g, min(doc_id) OVER (PARTITION BY g) AS head, count(*) OVER (PARTITION BY g) AS weight FROM sets),
+flat AS (SELECT doc_id, weight, len(g) AS n, unnest(g) AS gram FROM classes WHERE doc_id = head),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(b.weight) AS weight, count(*) AS both_n, any_value(a.n) + any_value(b.n) AS sum_n
+        FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id <> b.doc_id AND a.n >= {t} * b.n AND b.n >= {t} * a.n GROUP BY 1, 2),
+near AS (SELECT a, b, weight FROM met WHERE both_n / (sum_n - both_n)::DOUBLE >= {t} - 1e-12),
+reach AS (SELECT a, a AS b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+least AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1),
+partners AS (SELECT a, sum(weight) AS n FROM near GROUP BY 1)
+SELECT c.doc_id, coalesce(l.class_id, c.head) AS class_id, (c.weight - 1 + coalesce(p.n, 0))::BIGINT AS links
+FROM classes c LEFT JOIN least l ON c.head = l.a LEFT JOIN partners p ON c.head = p.a WHERE c.weight > 1 OR p.n > 0"""
 
 
 def components(edges: DataFrame, most_on_driver: int = SMALL_SIDE) -> DataFrame:
@@ -648,20 +682,24 @@ def components(edges: DataFrame, most_on_driver: int = SMALL_SIDE) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
-    """(id, head) of every document that has a near copy: the least id of its group, closed under the join's pairs."""
-    return components(jaccard_join(docs, id_col, text_col, n, t, spanning=True))
+    """(id, th, head) of every document that has a near copy, th a hash of its text: the least (id, th) of its group,
+    closed under the join's pairs."""
+    return _linked(docs, id_col, text_col, n, t, BLOCK, _LABELS_SENT).select("id", "th", "head")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = GRAM, t: float = THRESHOLD) -> DataFrame:
-    """``docs`` with only the document of least id of each group, and one row of rows that repeat in all columns.
+    """``docs`` with only the document of least (id, hash of text) of each group, and one row of rows that repeat in all
+    columns. A text that isn't like any other stays, whatever else its id holds.
 
     Documents with a null id, or without words, are kept.
     """
-    gone = settle(groups(docs, id_col, text_col, n, t).where("id <> head").select(F.col("id").alias("__gone")))
+    plain, names = positional(docs), docs.columns
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    gone = settle(groups(plain, key, text, n, t).where("id <> head.id OR th <> head.th").select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")))
     few = gone.count() <= SMALL_SIDE
-    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")
-    again = settle(docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("__again")).count().where("count > 1").select("__again"))
-    if again.isEmpty():
-        return left
-    repeated = left.join(again, left[id_col] == again["__again"], "left_semi").dropDuplicates()
-    return left.join(again, left[id_col] == again["__again"], "left_anti").unionByName(repeated)
+    left = plain.join(F.broadcast(gone) if few else gone, (F.col(key) == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_th")), "left_anti")
+    again = settle(plain.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("again")).count().where("count > 1").select("again"))
+    if not again.isEmpty():
+        once = left.join(again, F.col(key) == F.col("again"), "left_anti")
+        left = once.unionByName(left.join(again, F.col(key) == F.col("again"), "left_semi").dropDuplicates())
+    return left.toDF(*names)

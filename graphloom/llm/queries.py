@@ -52,12 +52,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_ngram_jaccard", ngram_join.oracle())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
-
-
-@query("op6_all_pairs", ngram_join.oracle_all())
-def op6_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.all_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.links(table(spark, sf_dir, "documents"))
 
 
 @query("op10_substring", substring.oracle())
