@@ -80,7 +80,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_embedding_near_duplicates", embed.oracle())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embed.near_links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_planted_copies", embed.oracle(embed.COPIES))
+def op3_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_links(embed.with_copies(table(spark, sf_dir, "embeddings")))
 
 
 @query("op4_media_clips")

@@ -17,26 +17,65 @@ def vectors(seed, n, dim=32):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("seed,n", [(1, 400), (2, 900), (3, 12)])
-def test_recall_and_exactness(spark, seed, n):
+def brute_links(x, ids, t=E.THRESHOLD):
+    """{id: (least id of its group, links)} by comparing all vectors."""
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= t - 1e-7
+    np.fill_diagonal(near, False)
+    head = np.array(ids)
+    for _ in ids:
+        head = np.minimum(head, np.where(near, head[None, :], max(ids)).min(1))
+    return {ids[i]: (int(head[i]), int(near[i].sum())) for i in range(len(ids)) if near[i].any()}
+
+
+@pytest.mark.parametrize("seed,n,piece", [(1, 400, E.PIECE), (2, 900, 7), (3, 12, E.PIECE)])
+def test_recall_and_exactness(spark, seed, n, piece):
     x = vectors(seed, n)
     rows = [(i, v.tolist(), 1, 2, 3, b"") for i, v in enumerate(x)]
-    got = {(r["id_a"], r["id_b"]): r["cosine"] for r in E.near_duplicates(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()}
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-    cos = u @ u.T
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if cos[i, j] >= E.THRESHOLD}
-    assert got.keys() <= {p for p in got if cos[p] >= E.THRESHOLD - 1e-6}
-    assert len(got.keys() & want) >= 0.9 * len(want) and want
-    assert all(abs(c - cos[p]) < 1e-5 for p, c in got.items())
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in E.near_links(spark.createDataFrame(rows, VECTORS).repartition(3), piece=piece).collect()}
+    want = brute_links(x, list(range(n)))
+    assert want and got.keys() <= want.keys() and all(got[i][1] <= want[i][1] for i in got)
+    found, true = sum(v[1] for v in got.values()), sum(v[1] for v in want.values())
+    assert found >= 0.9 * true
+    assert found < true or got == want
+
+
+def test_pairs_close_to_the_threshold_are_found(spark):
+    """Recall where it is hardest: every pair has a cosine just over the threshold, in 64 dimensions."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    rows = [(i, v.tolist(), 1, 2, 3, b"") for i, v in enumerate(np.concatenate([a, b]).astype(np.float32))]
+    got = E.near_links(spark.createDataFrame(rows, VECTORS)).collect()
+    assert 0.9 * 3000 <= len(got) <= 3000 and all(r["class_id"] % 1500 == r["vec_id"] % 1500 and r["links"] == 1 for r in got)
+
+
+def test_a_hot_group_is_counted_in_pieces(spark):
+    """Copies and near copies of one vector make a third of the rows."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[:100] = x[0]
+    x[100:200] = x[0] + rng.normal(size=(100, 16)).astype(np.float32) * 0.02
+    rows = [(i, v.tolist(), 1, 2, 3, b"") for i, v in enumerate(x)]
+    want = brute_links(x, list(range(600)))
+    for piece in (E.PIECE, 16):
+        got = {r["vec_id"]: (r["class_id"], r["links"]) for r in E.near_links(spark.createDataFrame(rows, VECTORS), piece=piece).collect()}
+        assert got == want and want[150][1] >= 190
 
 
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (2, [2.0, 4.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (9, [1.0, None]), (10, [-1.0, -2.0])]
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (2, [2.0, 4.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (9, [1.0, None]), (10, [-1.0, -2.0]), (2, [5.0, -1.0])]
     df = spark.createDataFrame([(i, v, 1, 2, 3, b"") for i, v in rows], VECTORS)
-    assert [tuple(r) for r in E.near_duplicates(df).collect()] == [(1, 2, 1.0)]
+    assert sorted(tuple(r) for r in E.near_links(df).collect()) == [(1, 1, 1), (2, 1, 1)]
     for few in ([], [(1, [1.0, 2.0])], [(1, None)]):
-        assert E.near_duplicates(spark.createDataFrame([(i, v, 1, 2, 3, b"") for i, v in few], VECTORS)).count() == 0
+        assert E.near_links(spark.createDataFrame([(i, v, 1, 2, 3, b"") for i, v in few], VECTORS)).count() == 0
+    tie = [(1, [1.0, 0.0]), (2, [0.9, 0.435889894354067])]  # a cosine of 0.9
+    assert E.near_links(spark.createDataFrame(tie, "`a.b` int, v array<double>"), "a.b", "v").count() == 2
+    wide = spark.createDataFrame([(i, [float((i * j) % 7 + 1) for j in range(5000)]) for i in (1, 2, 9)], "vec_id long, embedding array<float>")
+    assert {r["vec_id"] for r in E.near_links(wide).collect()} == set(brute_links(np.array([[float((i * j) % 7 + 1) for j in range(5000)] for i in (1, 2, 9)]), [1, 2, 9]))
 
 
 def film(levels, index=True):
