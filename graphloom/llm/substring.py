@@ -1,19 +1,24 @@
 """Passages of at least ``length`` words that occur more than once in a table of texts, by seed and extend.
 
 Seeds: every window of ``length`` words picks its winnowed anchor, the least hash among its runs of ``seed`` words
-(the rightmost on ties), so equal windows pick equal anchors at equal places. Documents are joined on anchors and those
-that occur once are dropped. Extension: around every shared anchor all windows that picked it are compared, which
-extends the match both ways word by word as far as any other occurrence agrees; windows that occur again are merged
-into maximal spans. Of the occurrences of a window the one with the least (document, place) is the first; the words
-of a span that lie in a window which isn't a first occurrence are redundant.
+(the rightmost on ties), so equal windows pick equal anchors at equal places. Documents are joined on anchors; around
+every shared anchor the windows that picked it are joined in their turn, and each window that occurs again gets the
+first of its occurrences, by (document, place). Extension: each pair of a window and its first occurrence is extended
+both ways, word by word, as far as the two documents agree, which gives a maximal repeat of the pair. What a document
+shares with another is known by the names of its windows (their first occurrences), so no text is sent for it.
 
-Both joins combine on the map side: a task sends a key once and settles its own repeats itself, so a passage that
-millions of documents share costs the receiving task one entry a sending task. No list is capped. Words are compared
-by 64-bit hashes of runs, anchor and window alike.
+A document's spans are the maximal repeats it has a part in, as the first or as the later side, without those that lie
+within another of its spans; spans may overlap. The words of a window that isn't a first occurrence are redundant.
+
+Joins combine on the map side: a task sends a key once and answers its own repeats itself by the first of them, whose
+own answer is put in later, so a passage that millions of documents share costs the receiving task one entry a sending
+task. Windows travel back as runs. No list is capped. Anchors are compared by 64-bit hashes, windows by 96 bits.
 
 Defined cases: null and blank texts, and texts under ``length`` words, have no spans; repeats within one document
-count; rows with a null id are left out (deduplication keeps them as they are); repeated rows of one id are one document;
-ties cannot occur, as places differ; an empty table gives no rows; only id and text are read. Ids are integers.
+count; rows with a null id are left out (deduplication keeps them as they are); rows that repeat id and text are one
+document; texts of one id that differ are documents of their own, in the order of a hash of the text, and each is cut
+by its own repeats only; ties cannot occur, as places differ; an empty table gives no rows; other columns are neither
+read nor changed, whatever their names. Ids are of any type that has an order.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .lineage import settle
+from .lineage import positional, settle
 
 LENGTH = 50
 SEED = 16
@@ -35,16 +40,17 @@ _PLACE = np.uint64((1 << 26) - 1)
 _BUCKETS_A_PARTITION = 4
 #: Rows that a task combines before it sends them.
 _HELD = 4_000_000
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def anchors(texts: pa.Array, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Of every window of ``length`` words: text index, first word (in its text), hash, index of its anchor; and of
-    all runs of ``seed`` words the hash; and the first word index of each text. Window starts index the chunk."""
+    """Of every window of ``length`` words: text index, first word (in its text), index of its anchor; of all runs of
+    ``seed`` words the hash; the first word index of each text; and the hashes of all words. Windows index the chunk."""
     h, doc, _, _ = K.word_hashes(texts)
     base = np.searchsorted(doc, np.arange(len(texts)))
     if len(h) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64), base
+        return none, none, none, np.zeros(0, np.uint64), base, h
     run = K.run_hashes(h, seed)
     least = (run & ~_PLACE) | (_PLACE - np.arange(len(run), dtype=np.uint64))
     span, size = length - seed + 1, 1
@@ -54,69 +60,108 @@ def anchors(texts: pa.Array, length: int, seed: int) -> tuple[np.ndarray, ...]:
     if size < span:
         least = np.minimum(least[: len(least) - (span - size)], least[span - size :])
     start = np.flatnonzero(doc[: len(h) - length + 1] == doc[length - 1 :])
-    return doc[start], start, (_PLACE - (least[start] & _PLACE)).astype(np.int64), run, base
+    return doc[start], start, (_PLACE - (least[start] & _PLACE)).astype(np.int64), run, base, h
+
+
+_PLANES = ("<u8", "<u4", "<u4", "<u4", "<u2", "<u2", "u1")
+_WIDTH = 25
 
 
-def _split(values: np.ndarray, doc: np.ndarray, place: np.ndarray, extra: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+def _split(key: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray, extra: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
     """Entries by bucket of their key, packed by columns."""
-    bucket = ((values >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
-    bucket, values, doc, place, extra = bucket[by], values[by], doc[by].view(np.uint64), place[by].astype(np.uint64), extra[by]
+    bucket, key, check, doc, place, extra = bucket[by], key[by], check[by], doc[by].view(np.uint64), place[by].astype(np.uint64), extra[by]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     ends = np.concatenate([first[1:], [len(bucket)]])
-    planes = [values, doc.astype(np.uint32), (doc >> np.uint64(32)).astype(np.uint32), place.astype(np.uint16), (place >> np.uint64(16)).astype(np.uint16), extra.astype(np.uint8)]
+    planes = [key, check, doc.astype(np.uint32), (doc >> np.uint64(32)).astype(np.uint32), place.astype(np.uint16), (place >> np.uint64(16)).astype(np.uint16), extra.astype(np.uint8)]
     return bucket[first], [b"".join(p[a:b].tobytes() for p in planes) for a, b in zip(first, ends)]
 
 
 def _joined(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    out = [[] for _ in range(4)]
+    out = [[] for _ in range(5)]
     for data in blobs:
-        n, at, planes = len(data) // 21, 0, []
-        for kind in ("<u8", "<u4", "<u4", "<u2", "<u2", "u1"):
+        n, at, planes = len(data) // _WIDTH, 0, []
+        for kind in _PLANES:
             planes.append(np.frombuffer(data, kind, n, at))
             at += planes[-1].nbytes
         out[0].append(planes[0])
-        out[1].append((planes[1].astype(np.uint64) | planes[2].astype(np.uint64) << np.uint64(32)).view(np.int64))
-        out[2].append(planes[3].astype(np.int64) | planes[4].astype(np.int64) << 16)
-        out[3].append(planes[5])
+        out[1].append(planes[1])
+        out[2].append((planes[2].astype(np.uint64) | planes[3].astype(np.uint64) << np.uint64(32)).view(np.int64))
+        out[3].append(planes[4].astype(np.int64) | planes[5].astype(np.int64) << 16)
+        out[4].append(planes[6])
     return tuple(np.concatenate(x) for x in out)
 
 
-def _resolve(key: np.ndarray, doc: np.ndarray, place: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, ...]:
-    """By key, then (document, place): the entries without doubles, whether the key occurs more than once, and
-    whether the entry is the first of its key. again: that the key is known to occur elsewhere too."""
-    by = np.lexsort((place, doc, key))
-    key, doc, place, again = key[by], doc[by], place[by], again[by].astype(bool)
+def _resolve(key: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By key, then (document, place): the entries without doubles, whether the key occurs more than once, and the
+    index of the first entry of the key. again: that the key is known to occur elsewhere too."""
+    by = np.lexsort((place, doc, check, key))
+    key, check, doc, place, again = key[by], check[by], doc[by], place[by], again[by].astype(bool)
     if not len(key):
-        return key, doc, place, again, again
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])
-    group = np.flatnonzero(fresh)
-    again = np.logical_or.reduceat(again, group)
-    key, doc, place = key[fresh], doc[fresh], place[fresh]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    head = np.flatnonzero(first)
-    many = np.diff(np.concatenate([head, [len(key)]])) > 1
-    many |= np.logical_or.reduceat(again, head)
-    return key, doc, place, np.repeat(many, np.diff(np.concatenate([head, [len(key)]]))), first
-
-
-def _by_doc(doc: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+        return key, check, doc, place, again, np.zeros(0, np.int64)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
+    fresh = new | np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])])
+    again = np.logical_or.reduceat(again, np.flatnonzero(fresh))
+    key, check, doc, place, new = key[fresh], check[fresh], doc[fresh], place[fresh], new[fresh]
+    head = np.flatnonzero(new)
+    size = np.diff(np.concatenate([head, [len(key)]]))
+    many = (size > 1) | np.logical_or.reduceat(again, head)
+    return key, check, doc, place, np.repeat(many, size), np.repeat(head, size)
+
+
+def _groups(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and end of each run of equal values."""
+    if not len(by[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in by])]))
+    return first, np.concatenate([first[1:], [len(by[0])]])
+
+
+def _runs(doc: np.ndarray, place: np.ndarray, to: np.ndarray, there: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(doc, place, to, there, size) of runs in which place and there go up together, by (doc, to, place)."""
+    by = np.lexsort((place, to, doc))
+    doc, place, to, there = doc[by], place[by], to[by], there[by]
+    size = np.ones(len(doc), np.int64) if size is None else size[by]
+    if not len(doc):
+        return doc, place, to, there, size
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (to[1:] != to[:-1]) | (place[1:] != place[:-1] + size[:-1]) | (there[1:] != there[:-1] + size[:-1])])
+    first = np.flatnonzero(new)
+    return doc[first], place[first], to[first], there[first], np.add.reduceat(size, first)
+
+
+_RUN = np.dtype([("place", "<u4"), ("size", "<u4"), ("to", "<i8"), ("there", "<u4")])
+
+
+def _packed(place: np.ndarray, size: np.ndarray, to: np.ndarray, there: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(place), _RUN)
+    out["place"], out["size"], out["to"], out["there"] = place, size, to, there
+    return out
+
+
+def _runs_by_doc(doc: np.ndarray, place: np.ndarray, to: np.ndarray, there: np.ndarray, size: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows (doc_id, leader, data) of the runs, one for each document and leader."""
+    doc, place, to, there, size = _runs(doc, place, to, there, size)
+    data = _packed(place, size, to, there)
+    first, end = _groups(doc, to)
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(to[first]), pa.array([data[a:b].tobytes() for a, b in zip(first, end)], pa.binary())], names=["doc_id", "leader", "data"])
+
+
+def _places_by_doc(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     by = np.argsort(doc, kind="stable")
-    doc, code = doc[by], code[by].astype(np.uint32)
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.concatenate([first[1:], [len(doc)]]).astype(np.int64)
-    k = len(first)
-    return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.array(doc[first]), pa.array([code[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["bucket", "doc_id", "data"])
+    doc, place = doc[by], place[by].astype(np.uint32)
+    first, end = _groups(doc)
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.nulls(len(first), pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(first, end)], pa.binary())], names=["doc_id", "leader", "data"])
 
 
 class _Sender:
     """Combines a task's entries: answers repeats within the task, sends each key once."""
 
-    def __init__(self, buckets: int, firsts: bool) -> None:
-        self.buckets, self.firsts, self.held, self.n = buckets, firsts, [], 0
+    def __init__(self, buckets: int, leaders: bool) -> None:
+        self.buckets, self.leaders, self.held, self.n = buckets, leaders, [], 0
 
-    def add(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((key, doc, place))
+    def add(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((key, check, doc, place))
         self.n += len(key)
         if self.n > _HELD:
             yield from self.flush()
@@ -124,27 +169,36 @@ class _Sender:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        key, doc, place = (np.concatenate(x) for x in zip(*self.held))
+        key, check, doc, place = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.n = [], 0
-        key, doc, place, many, first = _resolve(key, doc, place, np.zeros(len(key), np.uint8))
+        key, check, doc, place, many, head = _resolve(key, check, doc, place, np.zeros(len(key), np.uint8))
+        first = head == np.arange(len(head))
         known = many & ~first
-        yield _by_doc(doc[known], place[known] << 1)
-        bucket, data = _split(key[first], doc[first], place[first], many[first], self.buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(len(bucket), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "doc_id", "data"])
+        at = head[known]
+        own = _runs_by_doc(doc[known], place[known], doc[at], place[at]) if self.leaders else _places_by_doc(doc[known], place[known])
+        yield pa.RecordBatch.from_arrays([pa.nulls(own.num_rows, pa.int32()), *own.columns], names=["bucket", *own.schema.names])
+        bucket, data = _split(key[first], check[first], doc[first], place[first], many[first], self.buckets)
+        none = pa.nulls(len(bucket), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), none, none, pa.array(data, pa.binary())], names=["bucket", "doc_id", "leader", "data"])
 
 
-_ROWS = "bucket int, doc_id long, data binary"
+_ROWS = "bucket int, doc_id long, leader long, data binary"
+_BY_DOC = "doc_id long, leader long, data binary"
 
 
-def _answers(sent: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, data): codes (place << 1 | first) of the entries whose key occurs more than once."""
+def _answers(sent: DataFrame, parts: int, leaders: bool) -> DataFrame:
+    """Of the sent entries whose key occurs more than once: their places, or runs with the first occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blobs, out, n = None, [], [], 0
 
         def settle_bucket() -> None:
-            _, doc, place, many, first = _resolve(*_joined(blobs))
-            out.append((doc[many], place[many] << 1 | first[many]))
+            _, _, doc, place, many, head = _resolve(*_joined(blobs))
+            out.append((doc[many], place[many], doc[head[many]], place[head[many]]))
+
+        def rows() -> pa.RecordBatch:
+            doc, place, to, there = (np.concatenate(x) for x in zip(*out))
+            return _runs_by_doc(doc, place, to, there) if leaders else _places_by_doc(doc, place)
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -152,111 +206,235 @@ def _answers(sent: DataFrame, parts: int) -> DataFrame:
                     settle_bucket()
                     blobs, n = [], n + len(out[-1][0])
                     if n > _HELD:
-                        yield _by_doc(*(np.concatenate(x) for x in zip(*out))).select([1, 2])
+                        yield rows()
                         out, n = [], 0
                 at = bucket
                 blobs.append(data)
         if blobs:
             settle_bucket()
         if out:
-            yield _by_doc(*(np.concatenate(x) for x in zip(*out))).select(["doc_id", "data"])
+            yield rows()
+
+    return sent.where("bucket IS NOT NULL").select("bucket", "data").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _BY_DOC)
+
 
-    queries = sent.where("bucket IS NOT NULL").select("bucket", "data")
-    found = queries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, data binary")
-    return found.union(sent.where("bucket IS NULL").select("doc_id", "data")).groupBy("doc_id").agg(F.collect_list("data").alias("codes"))
+def _of_lists(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs in all lists of blobs in a row, and the list of each."""
+    joined = [b"".join(x) for x in lists]
+    return np.frombuffer(b"".join(joined), _RUN), np.repeat(np.arange(len(lists)), [len(x) // _RUN.itemsize for x in joined])
 
 
-def _codes(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted places, and whether each is a first occurrence."""
-    code = np.unique(np.frombuffer(b"".join(lists), np.uint32)).astype(np.int64)
-    place, first = code >> 1, code & 1
-    last = np.concatenate([place[1:] != place[:-1], [True]]) if len(place) else np.zeros(0, bool)
-    return place[last], first[last].astype(bool)
+def _together(rows: DataFrame) -> DataFrame:
+    """(doc_id, runs) of rows (doc_id, data): a document's runs as one, by place."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, of = _of_lists(batch.column("lists").to_pylist())
+            by = np.lexsort((r["place"], of))
+            r, of = r[by], of[by]
+            # runs of one leader that meet are one
+            place, size, there = (r[c].astype(np.int64) for c in ("place", "size", "there"))
+            new = np.concatenate([[True], (of[1:] != of[:-1]) | (r["to"][1:] != r["to"][:-1]) | (place[1:] != place[:-1] + size[:-1]) | (there[1:] != there[:-1] + size[:-1])])
+            first = np.flatnonzero(new)
+            r = _packed(place[first], np.add.reduceat(size, first), r["to"][first], there[first])
+            edge = np.searchsorted(of[first], np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], names=["doc_id", "runs"])
+
+    return rows.groupBy("doc_id").agg(F.collect_list("data").alias("lists")).mapInArrow(run, "doc_id long, runs binary")
+
+
+def _composed(local: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, data): runs that lead to a task's own first occurrence, led on to where that one's runs lead."""
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, codes) of every document with a window of ``length`` words that occurs more than once."""
-    spark = docs.sparkSession
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, of = _of_lists([[x] for x in batch.column("data").to_pylist()])
+            theirs, at = _of_lists([[x] for x in batch.column("runs").to_pylist()])
+            size = mine["size"].astype(np.int64)
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            place, there = np.repeat(mine["place"].astype(np.int64), size) + step, np.repeat(mine["there"].astype(np.int64), size) + step
+            row = np.repeat(of, size)
+            where = np.searchsorted(at << 32 | theirs["place"].astype(np.int64), row << 32 | there, "right") - 1
+            led = theirs[where]
+            doc, place, to, there, size = _runs(row, place, led["to"].astype(np.int64), led["there"].astype(np.int64) + there - led["place"].astype(np.int64))
+            data = _packed(place, size, to, there)
+            first, end = _groups(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[first])), pa.array([data[a:b].tobytes() for a, b in zip(first, end)], pa.binary())], names=["doc_id", "data"])
+
+    return local.join(known.select(F.col("doc_id").alias("leader"), "runs"), "leader").select("doc_id", "data", "runs").mapInArrow(run, "doc_id long, data binary")
+
+
+def repeated_windows(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """(doc_id, runs) of every document (doc_id, text) with a window of ``length`` words that occurs more than once:
+    runs of such windows with their first occurrences (its own, where it is the first)."""
+    spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * _BUCKETS_A_PARTITION
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id IS NOT NULL")
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets, False)
         for batch in batches:
             for part in K.chunks(batch, "text"):
-                of, _, anchor, run, base = anchors(part.column("text"), length, seed)
+                of, _, anchor, run, base, _ = anchors(part.column("text"), length, seed)
                 if not len(of):
                     continue
                 fresh = np.concatenate([[True], anchor[1:] != anchor[:-1]])
                 of, anchor = of[fresh], anchor[fresh]
                 ids = part.column("doc_id").to_numpy()
-                yield from sender.add(run[anchor], ids[of], anchor - base[of])
+                yield from sender.add(run[anchor], np.zeros(len(of), np.uint32), ids[of], anchor - base[of])
         yield from sender.flush()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(buckets, True)
         for batch in batches:
             for part in K.chunks(batch, "text"):
-                h, doc, _, _ = K.word_hashes(part.column("text"))
-                of, start, anchor, _, base = anchors(part.column("text"), length, seed)
+                of, start, anchor, _, base, h = anchors(part.column("text"), length, seed)
                 if not len(of):
                     continue
                 shared = np.zeros(len(h) + 1, bool)
-                for i, lists in enumerate(part.column("codes").to_pylist()):
-                    shared[np.minimum(base[i] + _codes(lists)[0], len(h))] = True
+                for i, lists in enumerate(part.column("lists").to_pylist()):
+                    shared[np.minimum(base[i] + np.frombuffer(b"".join(lists), np.uint32).astype(np.int64), len(h))] = True
                 take = shared[anchor]
                 of, start = of[take], start[take]
+                if not len(of):
+                    continue
                 ids = part.column("doc_id").to_numpy()
-                yield from sender.add(K.run_hashes(h, length)[start], ids[of], start - base[of])
+                check = (K.run_hashes(K.mix(h ^ _OTHER), length)[start] >> np.uint64(32)).astype(np.uint32)
+                yield from sender.add(K.run_hashes(h, length)[start], check, ids[of], start - base[of])
         yield from sender.flush()
 
     seeded = settle(texts.mapInArrow(seeds, _ROWS))
-    shared = _answers(seeded, parts)
-    windows = settle(texts.join(shared, "doc_id").select("doc_id", "text", "codes").mapInArrow(extend, _ROWS))
-    return _answers(windows, parts)
-
+    shared = _answers(seeded, parts, False).union(seeded.where("bucket IS NULL").drop("bucket")).groupBy("doc_id").agg(F.collect_list("data").alias("lists"))
+    windows = settle(texts.join(shared, "doc_id").select("doc_id", "text", "lists").mapInArrow(extend, _ROWS))
+    led = settle(_together(_answers(windows, parts, True).select("doc_id", "data")))
+    local = _composed(windows.where("bucket IS NULL").select("doc_id", "leader", "data"), led)
+    return settle(_together(led.select("doc_id", F.col("runs").alias("data")).union(local)))
+
+
+def _extended(mine: np.ndarray, theirs: np.ndarray, leader: int, own: bool, length: int) -> list[tuple[int, int, int]]:
+    """(start, end, offset of the other side) of the maximal repeats of a document's runs with those of a leader."""
+    begin, to = mine["place"].astype(np.int64), theirs["place"].astype(np.int64)
+    out: list[tuple[int, int, int]] = []
+    seeds = np.flatnonzero(mine["to"] == leader)
+    offset = mine["there"][seeds].astype(np.int64) - begin[seeds]
+    keep = offset != 0 if own else np.ones(len(seeds), bool)
+    done: dict[int, int] = {}
+
+    def name(runs: np.ndarray, start: np.ndarray, x: int) -> tuple[int, int, int] | None:
+        """Leader, place there and run of the window at x; None where it doesn't occur again."""
+        k = int(np.searchsorted(start, x, "right")) - 1
+        if k < 0 or x >= start[k] + int(runs["size"][k]):
+            return None
+        return int(runs["to"][k]), int(runs["there"][k]) + x - int(start[k]), k
+
+    for k, off in zip(seeds[keep].tolist(), offset[keep].tolist()):
+        first = int(begin[k])
+        if done.get(off, -1) >= first:
+            continue
+        last = first + int(mine["size"][k]) - 1
+        while (a := name(mine, begin, last + 1)) and (b := name(theirs, to, last + 1 + off)) and a[:2] == b[:2]:
+            last += min(int(begin[a[2]]) + int(mine["size"][a[2]]) - last - 1, int(to[b[2]]) + int(theirs["size"][b[2]]) - last - 1 - off)
+        while (a := name(mine, begin, first - 1)) and (b := name(theirs, to, first - 1 + off)) and a[:2] == b[:2]:
+            first -= min(first - int(begin[a[2]]), first + off - int(to[b[2]]))
+        done[off] = last
+        out.append((first, last + length, off))
+    return out
+
+
+def _spans(windows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, end): both sides of every maximal repeat, once each."""
+
+    def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, row, to = batch.column("doc_id").to_pylist(), [], []
+            for i, data in enumerate(batch.column("runs").to_pylist()):
+                r = np.frombuffer(data, _RUN)
+                found = np.unique(r["to"][(r["to"] != ids[i]) | (r["there"] != r["place"])]).tolist()
+                row += [i] * len(found)
+                to += found
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in batch.columns), pa.array(to, pa.int64())], names=["doc_id", "runs", "leader"])
 
-def _spans(place: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each maximal span, and its redundant words."""
-    new = np.concatenate([[True], place[1:] > place[:-1] + length])
-    begin = np.flatnonzero(new)
-    end = place[np.concatenate([begin[1:], [len(place)]]) - 1] + length
-    later = place[~first]
-    add = np.minimum(np.diff(later, prepend=later[0] - length if len(later) else 0), length)
-    words = np.bincount(np.searchsorted(place[begin], later, "right") - 1, weights=add, minlength=len(begin)) if len(later) else np.zeros(len(begin))
-    return place[begin], end, words.astype(np.int64)
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, leader, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "leader", "runs", "theirs"))):
+                for a, b, off in _extended(np.frombuffer(mine, _RUN), np.frombuffer(theirs, _RUN), leader, doc == leader, length):
+                    out += [(doc, a, b), (leader, a + off, b + off)]
+            x = np.array(out, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(3)], names=["doc_id", "start", "end"])
+
+    pairs = windows.mapInArrow(leaders, "doc_id long, runs binary, leader long")
+    both = pairs.join(windows.select(F.col("doc_id").alias("leader"), F.col("runs").alias("theirs")), "leader")
+    return both.mapInArrow(extend, "doc_id long, start long, end long").distinct()
+
+
+def _later(runs: np.ndarray, doc: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the redundant stretches of words: windows that aren't first occurrences, put together."""
+    r = runs[(runs["to"] != doc) | (runs["there"] != runs["place"])]
+    begin = r["place"].astype(np.int64)
+    end = begin + r["size"].astype(np.int64) - 1 + length
+    if not len(begin):
+        return begin, end
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > np.maximum.accumulate(end)[:-1]]))
+    return begin[first], np.maximum.reduceat(end, first)
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with a whole number for each document, in their order; and the table (doc_id, id, th) of what they
+    stand for, or None where ids are whole numbers of one text each, which then stand for themselves."""
+    id_type = docs.schema.fields[docs.columns.index(id_col)].dataType
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
+    hashed = texts.select("id", F.xxhash64("text").alias("th"))
+    if isinstance(id_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        if hashed.groupBy("id").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").isEmpty():
+            return texts.select(F.col("id").cast("bigint").alias("doc_id"), "text"), None
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of a sorted table are numbered in order
+    names = settle(hashed.distinct().repartitionByRange(parts, "id", "th").sortWithinPartitions("id", "th").select(F.monotonically_increasing_id().alias("doc_id"), "id", "th"))
+    return texts.withColumn("th", F.xxhash64("text")).join(names, ["id", "th"]).select("doc_id", "text"), names
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, start_word, end_word, n_words, redundant_words): the maximal spans of repeated windows."""
+    """Rows (doc_id, start_word, end_word, n_words, redundant_words): the spans of every document."""
+    texts, names = _named(docs, id_col, text_col)
+    windows = repeated_windows(texts, length, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, lists in zip(batch.column("doc_id").to_pylist(), batch.column("codes").to_pylist()):
-                begin, end, words = _spans(*_codes(lists), length)
-                out.append((np.full(len(begin), doc), begin, end, end - begin, words))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["doc_id", "start_word", "end_word", "n_words", "redundant_words"])
-
-    return repeated_windows(docs, id_col, text_col, length, seed).mapInArrow(run, "doc_id long, start_word long, end_word long, n_words long, redundant_words long")
-
-
-def cut(text: str | None, place: np.ndarray, length: int) -> str | None:
-    """A text without the words of the windows that start at ``place``, each cut up to the next word left."""
-    if text is None or not len(place):
+            out = [np.zeros((0, 5), np.int64)]
+            for doc, data, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "runs", "spans"))):
+                x = np.array([(s["start"], s["end"]) for s in spans], np.int64)
+                x = x[np.lexsort((-x[:, 1], x[:, 0]))]
+                x = x[np.concatenate([[True], x[1:, 1] > np.maximum.accumulate(x[:, 1])[:-1]])]  # not within an earlier one
+                begin, end = _later(np.frombuffer(data, _RUN), doc, length)
+                total = np.concatenate([[0], np.cumsum(end - begin)])
+
+                def words(at: np.ndarray) -> np.ndarray:
+                    """Redundant words before a place."""
+                    k = np.searchsorted(begin, at, "right")
+                    return total[k] - np.where(k > 0, np.maximum(end[np.maximum(k, 1) - 1] - at, 0), 0) if len(begin) else np.zeros(len(at), np.int64)
+
+                out.append(np.stack([np.full(len(x), doc), x[:, 0], x[:, 1], x[:, 1] - x[:, 0], words(x[:, 1]) - words(x[:, 0])], 1))
+            rows = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(5)], names=["doc_id", "start_word", "end_word", "n_words", "redundant_words"])
+
+    spans = _spans(windows, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = windows.join(spans, "doc_id").mapInArrow(run, "doc_id long, start_word long, end_word long, n_words long, redundant_words long")
+    if names is None:
+        return found
+    return found.join(names, "doc_id").select(F.col("id").alias("doc_id"), "start_word", "end_word", "n_words", "redundant_words")
+
+
+def cut(text: str | None, begin: np.ndarray, end: np.ndarray) -> str | None:
+    """A text without the stretches of words [begin, end), each cut up to the next word left."""
+    if text is None or not len(begin):
         return text
     data = text.encode()
-    starts, ends, _ = K.words(np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]), np.array([0, len(data)]))
-    gone = np.zeros(len(starts) + 1, np.int64)
-    place = place[place < len(starts)]
-    np.add.at(gone, place, 1)
-    np.add.at(gone, np.minimum(place + length, len(starts)), -1)
-    gone = np.cumsum(gone)[:-1] > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    starts, _, _ = K.words(np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]), np.array([0, len(data)]))
     out, at = [], 0
-    for a, b in zip(edge[::2], edge[1::2]):
+    for a, b in zip(begin.tolist(), end.tolist()):
+        if a >= len(starts):
+            break
         out.append(data[at : starts[a]])
         at = starts[b] if b < len(starts) else len(data)
     out.append(data[at:])
@@ -268,19 +446,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Other columns are kept as they are. Rows with a null id, and texts without repeats, are untouched.
     """
-    windows = repeated_windows(docs, id_col, text_col, length, seed)
-    later = windows.select(F.col("doc_id").alias("__doc"), F.col("codes").alias("__codes"))
-    fields = docs.schema.fields
+    plain = positional(docs)
+    key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    texts, names = _named(plain, key, text)
+    later = repeated_windows(texts, length, seed).select(F.col("doc_id").alias("doc"), "runs")
+    fields = plain.schema.fields
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), []
-            for i, lists in enumerate(batch.column("__codes").to_pylist()):
-                if lists is not None:
-                    place, first = _codes(lists)
-                    if not first.all():
-                        texts[i] = cut(texts[i], place[~first], length)
+            for i, (doc, data) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist())):
+                if data is not None:
+                    begin, end = _later(np.frombuffer(data, _RUN), doc, length)
+                    if len(begin):
+                        texts[i] = cut(texts[i], begin, end)
                         if not (texts[i] or "").strip(" \t\n\r\x0b\x0c"):
                             continue
                 keep.append(i)
@@ -288,19 +468,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(fields)]).take(pa.array(keep, pa.int64()))
 
-    joined = docs.join(later, docs[id_col].cast("bigint") == later["__doc"], "left").select(*[docs[c] for c in docs.columns], "__codes")
-    return joined.mapInArrow(run, T.StructType(fields))
+    if names is None:
+        joined = plain.join(later, F.col(key).cast("bigint") == F.col("doc"), "left")
+    else:
+        later = later.join(names, F.col("doc") == F.col("doc_id")).select("doc", "runs", "id", "th")
+        joined = plain.join(later, (F.col(key) == F.col("id")) & (F.xxhash64(text) == F.col("th")), "left")
+    return joined.select(*plain.columns, "doc", "runs").mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def oracle(table: str = "documents", length: int = LENGTH) -> str:
+    """The rows of ``repeats``, where ids are whole numbers of one text each."""
     return rf"""
 WITH split AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\v\f]+'), lambda x: x <> '') AS w FROM {table} WHERE doc_id IS NOT NULL),
 places AS (SELECT doc_id, w, unnest(range(0, len(w) - {length - 1})) AS s FROM split WHERE len(w) >= {length}),
 win AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + {length}], ' ')) AS h FROM places),
-flag AS (SELECT doc_id, s, count(*) OVER (PARTITION BY h) AS n, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS r FROM win),
-rep AS (SELECT doc_id, s, r > 1 AS later, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS prev FROM flag WHERE n > 1),
-island AS (SELECT *, sum(CASE WHEN prev IS NULL OR s > prev + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM rep),
-extra AS (SELECT doc_id, g, least({length}, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s), {length})) AS add FROM island WHERE later),
-red AS (SELECT doc_id, g, sum(add)::BIGINT AS redundant_words FROM extra GROUP BY 1, 2)
-SELECT i.doc_id, min(s)::BIGINT AS start_word, (max(s) + {length})::BIGINT AS end_word, (max(s) + {length} - min(s))::BIGINT AS n_words, coalesce(any_value(redundant_words), 0)::BIGINT AS redundant_words
-FROM island i LEFT JOIN red USING (doc_id, g) GROUP BY i.doc_id, i.g"""
+led AS (SELECT doc_id, s, h, count(*) OVER (PARTITION BY h) AS n, first_value(doc_id) OVER o AS to_doc, first_value(s) OVER o AS to_s FROM win WINDOW o AS (PARTITION BY h ORDER BY doc_id, s)),
+rep AS (SELECT doc_id, s, h, to_doc, to_s, to_doc <> doc_id OR to_s <> s AS later FROM led WHERE n > 1),
+pairs AS (SELECT DISTINCT doc_id, to_doc, to_s - s AS off FROM rep WHERE later),
+met AS (SELECT p.doc_id, p.to_doc, p.off, a.s, a.to_doc = p.to_doc AND a.to_s - a.s = p.off AS seed FROM pairs p JOIN rep a ON a.doc_id = p.doc_id JOIN rep b ON b.doc_id = p.to_doc AND b.s = a.s + p.off AND b.h = a.h),
+island AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, to_doc, off ORDER BY s) AS g FROM met),
+repeat AS (SELECT doc_id, to_doc, off, min(s) AS a, max(s) + {length} AS b FROM island GROUP BY doc_id, to_doc, off, g HAVING bool_or(seed)),
+span AS (SELECT doc_id, a, b FROM repeat UNION SELECT to_doc, a + off, b + off FROM repeat),
+widest AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM span),
+maximal AS (SELECT doc_id, a, b FROM widest WHERE before IS NULL OR before < b),
+steps AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {length} THEN 0 ELSE 1 END AS new FROM rep WHERE later),
+stretch AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM steps),
+gone AS (SELECT doc_id, min(s) AS x, max(s) + {length} AS y FROM stretch GROUP BY doc_id, g)
+SELECT m.doc_id, a AS start_word, b AS end_word, b - a AS n_words, coalesce(sum(greatest(0, least(y, b) - greatest(x, a))), 0)::BIGINT AS redundant_words
+FROM maximal m LEFT JOIN gone g ON g.doc_id = m.doc_id GROUP BY m.doc_id, a, b"""

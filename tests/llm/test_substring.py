@@ -8,29 +8,25 @@ from . import util
 
 
 def brute(rows, length):
-    """Maximal repeated spans and redundant words by comparing all windows."""
+    """Spans and texts left over, by extending every window and its first occurrence word by word."""
     where = {}
     texts = {i: (t or "").split() for i, t in rows if i is not None}
     for i in sorted(texts):
-        w = texts[i]
-        for s in range(len(w) - length + 1):
-            where.setdefault(tuple(w[s : s + length]), []).append((i, s))
-    again, later = {}, {}
+        for s in range(len(texts[i]) - length + 1):
+            where.setdefault(tuple(texts[i][s : s + length]), []).append((i, s))
+    spans, later = {}, {}
     for places in where.values():
-        if len(places) > 1:
-            for k, (i, s) in enumerate(sorted(places)):
-                again.setdefault(i, []).append(s)
-                if k:
-                    later.setdefault(i, set()).update(range(s, s + length))
-    out = set()
-    for i, starts in again.items():
-        spans = []
-        for s in sorted(starts):
-            if spans and s <= spans[-1][1]:
-                spans[-1][1] = s + length
-            else:
-                spans.append([s, s + length])
-        out |= {(i, a, b, b - a, len([x for x in later.get(i, ()) if a <= x < b])) for a, b in spans}
+        (f, p), *rest = sorted(places)
+        for i, s in rest:
+            later.setdefault(i, set()).update(range(s, s + length))
+            w, v, left, right = texts[i], texts[f], 0, length
+            while s > left and p > left and w[s - left - 1] == v[p - left - 1]:
+                left += 1
+            while s + right < len(w) and p + right < len(v) and w[s + right] == v[p + right]:
+                right += 1
+            spans.setdefault(i, set()).add((s - left, s + right))
+            spans.setdefault(f, set()).add((p - left, p + right))
+    out = {(i, a, b, b - a, len([x for x in later.get(i, ()) if a <= x < b])) for i, own in spans.items() for a, b in own if not any(x <= a and b <= y and (x, y) != (a, b) for x, y in own)}
     kept = {i: " ".join(x for k, x in enumerate(w) if k not in later.get(i, ())) for i, w in texts.items()}
     return out, kept
 
@@ -51,6 +47,7 @@ def corpus(seed):
 def test_spans_equal_brute_force(spark, seed, length, run):
     df = util.docs(spark, corpus(seed))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    assert len({i for i, _ in rows}) == len(set(rows)) - 1  # two without an id
     got = {tuple(r) for r in S.repeats(df, length=length, seed=run).collect()}
     want, kept = brute(rows, length)
     assert got == want and len(want) > 20
@@ -76,3 +73,25 @@ def test_passages_over_fifty_words_go_and_the_rest_stays(spark):
     left = {r["doc_id"]: r["text"] for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(passage in t for t in left.values()) == 1 and passage in left[0]
     assert all(own[i] in left[i] for i in range(30) if i % 3)
+
+
+def test_neighbouring_passages_are_repeats_of_their_own(spark):
+    rng = random.Random(2)
+    p, q = util.prose(rng, 60), util.prose(rng, 60)
+    rows = [(1, f"{p} {q}"), (2, p), (3, q)]
+    got = sorted(tuple(r) for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, 60, 60, 0), (1, 60, 120, 60, 0), (2, 0, 60, 60, 60), (3, 0, 60, 60, 60)]
+
+
+def test_texts_of_one_id_are_cut_each_by_itself(spark):
+    rng = random.Random(3)
+    p, own = util.prose(rng, 60), util.prose(rng, 200)
+    rows = [("1", p, b"a"), ("2", f"{p} x", b"b"), ("2", own, b"c"), ("2", own, b"d"), (None, p, b"e"), ("3", None, b"f"), ("4", "", b"g")]
+    df = spark.createDataFrame(rows, "`doc.id` string, `the.text` string, __codes binary")
+    out = S.remove_repeats(df, "doc.id", "the.text")
+    assert out.schema == df.schema
+    left = {bytes(r["__codes"]): r["the.text"] for r in out.collect()}
+    assert left[b"a"] == p and left[b"b"].strip() == "x" and left[b"c"] == left[b"d"] == own and left[b"e"] == p and left[b"f"] is None and left[b"g"] == ""
+    assert {tuple(r)[:3] for r in S.repeats(df, "doc.id", "the.text").collect()} == {("1", 0, 60), ("2", 0, 60)}
+    numbers = spark.createDataFrame([(1, p), (2, p + " x"), (2, own)], "doc_id long, text string")
+    assert sorted(r["text"].strip() for r in S.remove_repeats(numbers).collect()) == sorted([p, "x", own])
