@@ -40,6 +40,8 @@ _PLACE = np.uint64((1 << 26) - 1)
 _BUCKETS_A_PARTITION = 4
 #: Rows that a task combines before it sends them.
 _HELD = 4_000_000
+#: Windows whose names are compared at once; a pair of documents with more is compared alone.
+_NAMES = 500_000
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -311,33 +313,74 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, seed: int = SEED) -
     return settle(_together(led.select("doc_id", F.col("runs").alias("data")).union(local)))
 
 
-def _extended(mine: np.ndarray, theirs: np.ndarray, leader: int, own: bool, length: int) -> list[tuple[int, int, int]]:
-    """(start, end, offset of the other side) of the maximal repeats of a document's runs with those of a leader."""
-    begin, to = mine["place"].astype(np.int64), theirs["place"].astype(np.int64)
-    out: list[tuple[int, int, int]] = []
-    seeds = np.flatnonzero(mine["to"] == leader)
-    offset = mine["there"][seeds].astype(np.int64) - begin[seeds]
-    keep = offset != 0 if own else np.ones(len(seeds), bool)
-    done: dict[int, int] = {}
-
-    def name(runs: np.ndarray, start: np.ndarray, x: int) -> tuple[int, int, int] | None:
-        """Leader, place there and run of the window at x; None where it doesn't occur again."""
-        k = int(np.searchsorted(start, x, "right")) - 1
-        if k < 0 or x >= start[k] + int(runs["size"][k]):
-            return None
-        return int(runs["to"][k]), int(runs["there"][k]) + x - int(start[k]), k
-
-    for k, off in zip(seeds[keep].tolist(), offset[keep].tolist()):
-        first = int(begin[k])
-        if done.get(off, -1) >= first:
-            continue
-        last = first + int(mine["size"][k]) - 1
-        while (a := name(mine, begin, last + 1)) and (b := name(theirs, to, last + 1 + off)) and a[:2] == b[:2]:
-            last += min(int(begin[a[2]]) + int(mine["size"][a[2]]) - last - 1, int(to[b[2]]) + int(theirs["size"][b[2]]) - last - 1 - off)
-        while (a := name(mine, begin, first - 1)) and (b := name(theirs, to, first - 1 + off)) and a[:2] == b[:2]:
-            first -= min(first - int(begin[a[2]]), first + off - int(to[b[2]]))
-        done[off] = last
-        out.append((first, last + length, off))
+class _Names:
+    """The names (first occurrences) of the repeated windows of many documents, and of doubling stretches of them."""
+
+    def __init__(self, runs: np.ndarray, row: np.ndarray) -> None:
+        place, size = runs["place"].astype(np.int64), runs["size"].astype(np.int64)
+        self.key, self.place, self.size = row << 32 | place, place, size
+        # a gap between runs that don't meet is a name of its own
+        gap = np.ones(len(runs), bool)
+        gap[:-1] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + size[:-1])
+        self.at = np.cumsum(size + gap) - size - gap
+        n = int(self.at[-1] + size[-1] + 1) if len(runs) else 1
+        owner = np.repeat(np.arange(len(runs)), size)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        there = runs["there"].astype(np.int64)[owner] + step
+        self.level = [K.mix(np.arange(n, dtype=np.uint64) ^ _OTHER)]
+        self.level[0][self.at[owner] + step] = K.join_hashes(K.mix(runs["to"].astype(np.int64).view(np.uint64)[owner]), there.astype(np.uint64))
+        longest = int(np.diff(np.flatnonzero(np.concatenate([[True], gap])), prepend=0).max(initial=1)) * int(size.max(initial=1))
+        while 2 ** len(self.level) <= min(longest, n):
+            half = 2 ** (len(self.level) - 1)
+            self.level.append(K.join_hashes(self.level[-1][:-half], self.level[-1][half:]))
+
+    def find(self, row: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Index of the name of the window at x of a row."""
+        k = np.searchsorted(self.key, row << 32 | x, "right") - 1
+        return self.at[k] + x - self.place[k]
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many names from x and y on are equal, and how many before them."""
+        ahead, behind = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for k in range(len(self.level) - 1, -1, -1):
+            h, size = self.level[k], 1 << k
+            a, b = x + ahead, y + ahead
+            ok = np.maximum(a, b) < len(h)
+            ok[ok] = h[a[ok]] == h[b[ok]]
+            ahead += size * ok
+            a, b = x - behind - size, y - behind - size
+            ok = np.minimum(a, b) >= 0
+            ok[ok] = h[a[ok]] == h[b[ok]]
+            behind += size * ok
+        return ahead, behind
+
+
+def _widest(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows (group, a, b), once each, that don't lie within another of their group."""
+    x = np.unique(np.stack([group, a, -b], 1), axis=0)
+    group, a, b = x[:, 0], x[:, 1], -x[:, 2]
+    _, rank = np.unique(group, return_inverse=True)
+    reach = np.maximum.accumulate((rank << 40) + b)
+    keep = np.ones(len(x), bool)
+    keep[1:] = (rank[1:] << 40) + b[1:] > reach[:-1]
+    return np.stack([group, a, b], 1)[keep]
+
+
+def _extended(doc: np.ndarray, leader: np.ndarray, mine: list[bytes], theirs: list[bytes], length: int) -> np.ndarray:
+    """Rows (document, start, end): both sides of the maximal repeats of documents with their leaders, but for those
+    within another of the same pair."""
+    n = len(doc)
+    runs, row = _of_lists([[x] for x in [*mine, *theirs]])
+    names = _Names(runs, row)
+    seed = np.flatnonzero((row < n) & (runs["to"] == leader[np.minimum(row, n - 1)]))
+    place, there, row = names.place[seed], runs["there"][seed].astype(np.int64), row[seed]
+    apart = (doc[row] != leader[row]) | (place != there)
+    place, there, row = place[apart], there[apart], row[apart]
+    ahead, behind = names.common(names.find(row, place), names.find(row + n, there))
+    a, b, off = place - behind, place + ahead - 1 + length, there - place
+    own, other = _widest(row, a, b), _widest(row, a + off, b + off)
+    out = np.concatenate([own, other])
+    out[:, 0] = np.concatenate([doc[own[:, 0]], leader[other[:, 0]]])
     return out
 
 
@@ -356,12 +399,15 @@ def _spans(windows: DataFrame, length: int) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, leader, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "leader", "runs", "theirs"))):
-                for a, b, off in _extended(np.frombuffer(mine, _RUN), np.frombuffer(theirs, _RUN), leader, doc == leader, length):
-                    out += [(doc, a, b), (leader, a + off, b + off)]
-            x = np.array(out, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(3)], names=["doc_id", "start", "end"])
+            doc, leader = (batch.column(c).to_numpy() for c in ("doc_id", "leader"))
+            mine, theirs = (batch.column(c).to_pylist() for c in ("runs", "theirs"))
+            weight = np.cumsum([int(np.frombuffer(x, _RUN)["size"].sum()) + int(np.frombuffer(y, _RUN)["size"].sum()) for x, y in zip(mine, theirs)])
+            at = 0
+            while at < len(doc):
+                to = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + _NAMES, "right")))
+                x = _extended(doc[at:to], leader[at:to], mine[at:to], theirs[at:to], length)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(3)], names=["doc_id", "start", "end"])
+                at = to
 
     pairs = windows.mapInArrow(leaders, "doc_id long, runs binary, leader long")
     both = pairs.join(windows.select(F.col("doc_id").alias("leader"), F.col("runs").alias("theirs")), "leader")
@@ -403,9 +449,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         for batch in batches:
             out = [np.zeros((0, 5), np.int64)]
             for doc, data, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "runs", "spans"))):
-                x = np.array([(s["start"], s["end"]) for s in spans], np.int64)
-                x = x[np.lexsort((-x[:, 1], x[:, 0]))]
-                x = x[np.concatenate([[True], x[1:, 1] > np.maximum.accumulate(x[:, 1])[:-1]])]  # not within an earlier one
+                x = np.array([(doc, s["start"], s["end"]) for s in spans], np.int64)
+                x = _widest(*x.T)[:, 1:]
                 begin, end = _later(np.frombuffer(data, _RUN), doc, length)
                 total = np.concatenate([[0], np.cumsum(end - begin)])
 
@@ -494,5 +539,5 @@ maximal AS (SELECT doc_id, a, b FROM widest WHERE before IS NULL OR before < b),
 steps AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {length} THEN 0 ELSE 1 END AS new FROM rep WHERE later),
 stretch AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM steps),
 gone AS (SELECT doc_id, min(s) AS x, max(s) + {length} AS y FROM stretch GROUP BY doc_id, g)
-SELECT m.doc_id, a AS start_word, b AS end_word, b - a AS n_words, coalesce(sum(greatest(0, least(y, b) - greatest(x, a))), 0)::BIGINT AS redundant_words
+SELECT m.doc_id, a AS start_word, b AS end_word, b - a AS n_words, sum(CASE WHEN y IS NULL THEN 0 ELSE greatest(0, least(y, b) - greatest(x, a)) END)::BIGINT AS redundant_words
 FROM maximal m LEFT JOIN gone g ON g.doc_id = m.doc_id GROUP BY m.doc_id, a, b"""
