@@ -21,7 +21,7 @@ the search above skips them. Any blocks give the same pairs, so the sketch decid
 A task counts and joins the pairs it finds and hands on a row a set, so no group is written out as pairs.
 ``jaccard_join`` lists the pairs of heads, for callers that need the values.
 
-Postings travel as packed arrays of a bucket of the key space, so the shuffle holds about 14 bytes a posting.
+Postings travel as packed arrays of a bucket of the key space, so the shuffle holds about 12 bytes a posting.
 
 Defined cases: null and blank texts have no set and no row; a text of fewer words than n has one gram, all its words;
 ties at the threshold count; rows with a null id are left out; rows that repeat id and text are one document; rows of
@@ -60,6 +60,8 @@ PIECE_GRAMS = 2_000_000
 _LABELS_SENT = 2_000_000
 _SLOTS, _LINKS, _ALIKE = 16, 4, 8
 _STRIPE = 512
+#: Postings carry 48 bits of a signature; candidates that share them are told apart when texts are compared.
+_SHORT = np.uint64(16)
 
 
 def grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,13 +192,17 @@ def _postings(texts: DataFrame, n: int, t: float, order: np.ndarray, boundary: i
     shared = spark.sparkContext.broadcast((order, labels))
 
     def pack(key: np.ndarray, sig: np.ndarray, size: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        """A blob a bucket, by key: steps of the key and the other columns as planes of bytes, which compress alike
+        whatever the number of buckets."""
         bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-        by = np.argsort(bucket.astype(np.int32), kind="stable")
-        bucket, key, sig, size, label = bucket[by].astype(np.int32), key[by].astype(np.uint32), sig[by], size[by], label[by]
+        by = np.argsort(bucket << np.uint64(32) | key & np.uint64(0xFFFFFFFF), kind="stable")
+        bucket, key, sig, size, label = bucket[by].astype(np.int32), key[by].astype(np.uint32), sig[by] >> _SHORT, size[by].astype(np.uint32), label[by]
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = np.concatenate([first[1:], [len(bucket)]])
-        low, high = (size & 0xFFFF).astype(np.uint16), (size >> 16).astype(np.uint16)
-        data = [key[a:b].tobytes() + sig[a:b].tobytes() + low[a:b].tobytes() + high[a:b].tobytes() + label[a:b].tobytes() for a, b in zip(first, ends)]
+        step = np.diff(key, prepend=np.uint32(0))
+        step[first] = key[first]
+        planes = np.concatenate([step.view(np.uint8).reshape(-1, 4), sig.view(np.uint8).reshape(-1, 8)[:, :6], size.view(np.uint8).reshape(-1, 4), label.view(np.uint8).reshape(-1, 8)], 1)
+        data = [planes[a:b].T.tobytes() for a, b in zip(first, ends)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(data, pa.binary())], names=["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +229,7 @@ def _postings(texts: DataFrame, n: int, t: float, order: np.ndarray, boundary: i
                 if known is None:
                     label = part.column("label").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)[of[first]]
                 else:
-                    at = np.minimum(np.searchsorted(known[0], sig), max(len(known[0]) - 1, 0))
+                    at = np.minimum(np.searchsorted(known[0], sig), max(len(known[0]) - 1, 0))  # blocks are numbered from 1
                     label = np.where(known[0][at] == sig, known[1][at], np.uint64(0)) if len(known[0]) else np.zeros(len(sig), np.uint64)
                 lane = np.repeat(np.arange(len(first)), size)
                 rank = np.arange(len(of)) - first[lane]
@@ -262,7 +268,7 @@ def _meet(key: np.ndarray, sig: np.ndarray, size: np.ndarray, label: np.ndarray,
         return
     key, by = key[met], by[met]
     sig, size, label = sig[by], size[by], label[by]
-    label = np.where(label == 0, sig, label)  # a set without a block is its own
+    label = np.where(label == 0, sig | np.uint64(1 << 63), label)  # a set without a block is its own
     by = np.lexsort((sig, label, key))
     key, sig, size, label = key[by], sig[by], size[by], label[by]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
@@ -306,11 +312,13 @@ def _candidates(postings: DataFrame, t: float, boundary: int, buckets: int, part
     def bucket_of(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
         out = ([], [], [], [])
         for data in blobs:
-            k = len(data) // 24
-            out[0].append(np.frombuffer(data, np.uint32, k))
-            out[1].append(np.frombuffer(data, np.uint64, k, 4 * k))
-            out[2].append(np.frombuffer(data, np.uint16, k, 12 * k).astype(np.int64) | np.frombuffer(data, np.uint16, k, 14 * k).astype(np.int64) << 16)
-            out[3].append(np.frombuffer(data, np.uint64, k, 16 * k))
+            planes = np.frombuffer(data, np.uint8).reshape(22, -1)
+            for held, (lo, hi), kind in zip(out, ((0, 4), (4, 10), (10, 14), (14, 22)), (np.uint32, np.uint64, np.uint32, np.uint64)):
+                wide = np.zeros((planes.shape[1], kind().nbytes), np.uint8)
+                wide[:, : hi - lo] = planes[lo:hi].T
+                held.append(wide.view(kind)[:, 0])
+            out[0][-1] = np.cumsum(out[0][-1], dtype=np.uint32)
+            out[2][-1] = out[2][-1].astype(np.int64)
         return tuple(np.concatenate(x) for x in out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -573,12 +581,12 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, block
         known = labels.toPandas()
         sig, label = known["sig"].to_numpy(np.int64).view(np.uint64), known["label"].to_numpy(np.int64).view(np.uint64)
         by = np.argsort(sig)
-        posted = _postings(texts, n, t, order, boundary, buckets, (sig[by], label[by]))
+        posted = _postings(texts, n, t, order, boundary, buckets, (sig[by], np.unique(label, return_inverse=True)[1][by].astype(np.uint64) + np.uint64(1)))
     else:
         by_text = rows.where("block IS NULL").join(labels, "sig").groupBy("id", "th").agg(F.min("label").alias("label"))
         posted = _postings(texts.join(by_text, ["id", "th"], "left"), n, t, order, boundary, buckets, None)
     met = settle(_candidates(posted, t, boundary, buckets, min(buckets, max(parts, buckets // 4))))
-    left, right = (small.select(F.col("sig").alias(f"sig_{c}"), F.struct("id", "th").alias(f"own_{c}")) for c in "ab")
+    left, right = (small.select(F.shiftrightunsigned("sig", int(_SHORT)).alias(f"sig_{c}"), F.struct("id", "th").alias(f"own_{c}")) for c in "ab")
     named = met.join(left, "sig_a").join(right, "sig_b").where("own_a <> own_b").select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).distinct()
     named = settle(named.select(*(F.col(f"{c}.{k}").alias(f"{k}_{c}") for c in "ab" for k in ("id", "th"))))
     ends = settle(named.select(F.col("id_a").alias("id"), F.col("th_a").alias("th")).union(named.select("id_b", "th_b")).distinct())
