@@ -7,7 +7,7 @@ none fits the encoder steps back. Places that cannot be reached again are marked
 that of merging pairs in rank order.
 
 Texts are split by the vocabulary's pattern first. That is done for whole batches on arrays of character classes,
-equal pieces of a batch are encoded once, and pieces of earlier batches are looked up.
+equal pieces of a batch are encoded once, and pieces of earlier batches are looked up, by a hash and then their bytes.
 
 Decoder: all tokens' bytes lie in one array with a table of offsets; ids become byte ranges and the ranges are copied
 at once.
@@ -28,9 +28,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .lineage import positional
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers; more are encoded anew in each batch they occur in.
@@ -246,47 +248,90 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.append(starts[1:], size)
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, there: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether spans of two byte arrays (with 8 bytes of padding) are equal, eight bytes a step."""
+    out = np.ones(len(starts), bool)
+    a, b = (np.ndarray((len(x) - 7,), "<u8", x, strides=(1,)) for x in (data, other))
+    left, at = np.arange(len(starts)), 0
+    while len(left):
+        rest = length[left] - at
+        out[left] &= ((a[starts[left] + at] ^ b[there[left] + at]) & K.MASK[np.minimum(rest, 8)]) == 0
+        left, at = left[(rest > 8) & out[left]], at + 8
+    return out
+
+
 class Codec:
-    """Encodes chunks of texts; remembers pieces by hash."""
+    """Encodes chunks of texts; remembers pieces by hash. A piece found by its hash is compared byte by byte, and one
+    that only shares the hash is encoded by itself."""
 
     def __init__(self, path: str, backend: str = "backtracking") -> None:
         self.encode_piece = encoder(path).encode if backend == "backtracking" else library(path)
-        self.known = np.zeros(0, np.uint64)  # sorted hashes
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.forget()
 
-    def _ids(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Adds the pieces with these hashes."""
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, and of each the ids and bytes of its piece
+        self.first, self.count, self.place, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.flat, self.raw = np.zeros(0, np.int32), np.zeros(8, np.uint8)
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of spans in a row, and how many each has."""
         raw, encode = data.tobytes(), self.encode_piece
         lists = [encode(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
         count = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(count.sum()))
-        if len(self.known) > _REMEMBERED:
-            self.known, self.first, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        first = len(self.flat) + np.cumsum(count) - count
+        return np.fromiter((x for ids in lists for x in ids), np.int32, int(count.sum())), count
+
+    def _add(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        flat, count = self._encoded(data, starts, ends)
+        length = ends - starts
+        new = {
+            "known": hashes, "first": len(self.flat) + np.cumsum(count) - count, "count": count,
+            "place": len(self.raw) - 8 + np.cumsum(length) - length, "length": length,
+        }
         self.flat = np.concatenate([self.flat, flat])
-        known, first, count = np.concatenate([self.known, hashes]), np.concatenate([self.first, first]), np.concatenate([self.count, count])
-        by = np.argsort(known, kind="stable")
-        self.known, self.first, self.count = known[by], first[by], count[by]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and n + 1 offsets."""
+        self.raw = np.concatenate([self.raw[:-8], take_ranges(data, starts, length), np.zeros(8, np.uint8)])
+        by = None
+        for name, value in new.items():
+            value = np.concatenate([getattr(self, name), value])
+            by = np.argsort(value, kind="stable") if by is None else by
+            setattr(self, name, value[by])
+
+    def _found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids known so far, where those of each piece of the texts are and how many, and n + 1 offsets of pieces."""
         data, offsets = K.flat(texts)
         starts, ends = pieces(data, offsets)
         if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+            none = np.zeros(0, np.int64)
+            return self.flat, none, none, np.zeros(len(offsets), np.int64)
         hashes, where, back = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         new = ~np.isin(hashes, self.known, assume_unique=True)
         if len(self.known) > _REMEMBERED and new.any():
+            self.forget()
             new[:] = True
         if new.any():
-            self._ids(data, hashes[new], starts[where[new]], ends[where[new]])
-        at = np.searchsorted(self.known, hashes)[back]
-        count = self.count[at]
-        ids = take_ranges(self.flat, self.first[at], count)
-        total = np.concatenate([[0], np.cumsum(count)])
-        return ids, total[np.searchsorted(starts, offsets)]
+            self._add(data, hashes[new], starts[where[new]], ends[where[new]])
+        at = np.searchsorted(self.known, hashes)
+        length = ends - starts
+        # each piece against the first of its hash here, and that one against what is remembered
+        alike = (length[where] == self.length[at]) & same_bytes(data, starts[where], self.raw, self.place[at], np.minimum(length[where], self.length[at]))
+        mine = where[back]
+        own = alike[back] & (length == length[mine]) & same_bytes(data, starts, data, starts[mine], np.minimum(length, length[mine]))
+        first, count, flat = self.first[at][back], self.count[at][back], self.flat
+        if not own.all():
+            odd = np.flatnonzero(~own)
+            more, count[odd] = self._encoded(data, starts[odd], ends[odd])
+            first[odd] = len(flat) + np.cumsum(count[odd]) - count[odd]
+            flat = np.concatenate([flat, more])
+        return flat, first, count, np.searchsorted(starts, offsets)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and n + 1 offsets."""
+        flat, first, count, edges = self._found(texts)
+        return take_ranges(flat, first, count), np.concatenate([[0], np.cumsum(count)])[edges]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        _, _, count, edges = self._found(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(count)])[edges])
 
 
 def take_ranges(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -336,28 +381,41 @@ def decoder(path: str) -> Decoder:
     return Decoder(load_ranks(path))
 
 
+def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens) of every row; null for a null text. A narrow map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.chunks(batch, "text", K.CHUNK_BYTES):
+                texts = part.column(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec(path).counts(texts), pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))], names=["doc_id", "n_tokens"])
+
+    schema = T.StructType([T.StructField("doc_id", df.schema.fields[df.columns.index(id_col)].dataType), T.StructField("n_tokens", T.LongType())])
+    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+
+
 def encode(df: DataFrame, text_col: str = "text", out: str = "token_ids", path: str = VOCABULARY) -> DataFrame:
     """``df`` with the ids of ``text_col`` in ``out`` (array of int); a narrow map."""
     if out in df.columns:
         raise ValueError(f"column {out} exists")
-    at = df.columns.index(text_col)
+    at, names, df = df.columns.index(text_col), df.columns, positional(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.chunks(batch, text_col, K.CHUNK_BYTES // 2):
+            for part in K.chunks(batch, f"c{at}", K.CHUNK_BYTES // 2):
                 texts = part.column(at)
                 ids, offsets = codec(path).encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null() if texts.null_count else None)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "out"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("out", T.ArrayType(T.IntegerType()))])).toDF(*names, out)
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", out: str = "decoded", path: str = VOCABULARY) -> DataFrame:
     """``df`` with the text of ``ids_col`` in ``out``; bytes that are no UTF-8 become U+FFFD. A narrow map."""
     if out in df.columns:
         raise ValueError(f"column {out} exists")
-    at = df.columns.index(ids_col)
+    at, names, df = df.columns.index(ids_col), df.columns, positional(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,6 +426,6 @@ def decode(df: DataFrame, ids_col: str = "token_ids", out: str = "decoded", path
                 data, ends = decoder(path).decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
                 raw = data.tobytes()
                 texts = [None if null else raw[a:b].decode("utf-8", "replace") for a, b, null in zip(ends.tolist(), ends[1:].tolist(), lists.is_null().to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "out"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("out", T.StringType())])).toDF(*names, out)

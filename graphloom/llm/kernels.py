@@ -17,7 +17,7 @@ WORD = r"[^ \t\n\r\x0B\f]+"
 WS = np.zeros(256, bool)
 WS[[32, 9, 10, 13, 11, 12]] = True
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 #: Text handled at once; a longer document is handled alone.
 CHUNK_BYTES = 2 << 20
 
@@ -84,11 +84,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     wide = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     length = ends - starts
-    out = mix((wide[starts] & _MASK[np.minimum(length, 8)]) * _K1 + length.astype(np.uint64))
+    out = mix((wide[starts] & MASK[np.minimum(length, 8)]) * _K1 + length.astype(np.uint64))
     left, at = np.flatnonzero(length > 8), 8
     while len(left):
         rest = length[left] - at
-        out[left] = mix((out[left] ^ (wide[starts[left] + at] & _MASK[np.minimum(rest, 8)])) * _K1 + np.uint64(at))
+        out[left] = mix((out[left] ^ (wide[starts[left] + at] & MASK[np.minimum(rest, 8)])) * _K1 + np.uint64(at))
         left, at = left[rest > 8], at + 8
     return out
 

@@ -22,11 +22,12 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import WORD
+from . import bpe
 from .lineage import settle
 
 WINDOW = 2048
-_BUCKETS = 64
+#: Pieces of one length that one task puts in order.
+_IN_ORDER = 1 << 20
 
 
 class CapacityTree:
@@ -97,18 +98,14 @@ def plan(histogram: dict[int, int], window: int) -> tuple[list[tuple[int, int, i
     return runs, windows
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("bigint")
-
-
-def pack(docs: DataFrame, id_col: str, tokens: Column, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, tokens: Column, window: int = WINDOW, in_order: int = _IN_ORDER) -> DataFrame:
     """Rows (doc_id, piece, token_start, n_tokens, window_id, window_offset): where each piece of a document lies.
 
-    Two shuffles of (id, length) rows; the histogram that comes to the driver has at most ``window`` rows a bucket.
+    Shuffles rows of (id, length) once. To the driver come a row a length, and one for each ``in_order`` pieces.
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), tokens.cast("bigint").alias("n")).where("n > 0")
-    sized = settle(sized)  # read twice; the texts are not
+    sized = settle(sized)  # read several times; the texts are not
     pieces = sized.select(
         "doc_id",
         F.posexplode(
@@ -117,20 +114,20 @@ def pack(docs: DataFrame, id_col: str, tokens: Column, window: int = WINDOW) ->
                 lambda i: F.struct((i * window).alias("start"), F.least(F.lit(window).cast("bigint"), F.col("n") - i * window).alias("length")),
             )
         ).alias("piece", "p"),
-    ).select("doc_id", F.col("piece").cast("bigint").alias("piece"), F.col("p.start").alias("token_start"), F.col("p.length").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)).alias("bucket"))
+    ).select("doc_id", F.col("piece").cast("bigint").alias("piece"), F.col("p.start").alias("token_start"), F.col("p.length").alias("n_tokens"))
+    histogram = {r["n_tokens"]: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}
+    lengths = spark.createDataFrame([(x, -(-n // in_order)) for x, n in sorted(histogram.items())] or [(0, 1)], "n_tokens bigint, buckets bigint")
+    pieces = pieces.join(F.broadcast(lengths), "n_tokens").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets")))
     order = Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece", "token_start")
     ranked = pieces.withColumn("at", F.row_number().over(order).cast("bigint") - 1)
-    counts = pieces.groupBy("n_tokens", "bucket").count().collect()
-    histogram: dict[int, int] = defaultdict(int)
-    before = []
-    for length, bucket, n in sorted(map(tuple, counts)):
-        before.append((length, bucket, histogram[length]))
-        histogram[length] += n
+    before, seen = [], defaultdict(int)
+    for length, bucket, n in sorted(map(tuple, pieces.groupBy("n_tokens", "bucket").count().collect())):
+        before.append((length, bucket, seen[length]))
+        seen[length] += n
     runs, _ = plan(histogram, window)
     by_length: dict[int, list] = defaultdict(list)
     for length, rank, first, fits, used in runs:
         by_length[length].append((rank, first, fits, used))
-    # both tables are bounded by the window size, not by the data
     base = spark.createDataFrame(before or [(0, 0, 0)], "n_tokens bigint, bucket bigint, base bigint")
     places = spark.createDataFrame(sorted(by_length.items()) or [(0, [])], "n_tokens bigint, runs array<struct<rank:bigint,first:bigint,fits:bigint,used:bigint>>")
     placed = ranked.join(F.broadcast(base), ["n_tokens", "bucket"]).join(F.broadcast(places), "n_tokens").withColumn("rank", F.col("at") + F.col("base"))
@@ -141,3 +138,8 @@ def pack(docs: DataFrame, id_col: str, tokens: Column, window: int = WINDOW) ->
         (F.col("run.first") + F.expr("in_run div run.fits")).alias("window_id"),
         (F.col("run.used") + F.col("in_run") % F.col("run.fits") * F.col("n_tokens")).alias("window_offset"),
     )
+
+
+def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, path: str = bpe.VOCABULARY) -> DataFrame:
+    """``pack`` by the number of byte-pair ids of each text."""
+    return pack(bpe.count(docs, id_col, text_col, path), "doc_id", F.col("n_tokens"), window)

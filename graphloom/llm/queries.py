@@ -29,17 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", packing.word_count(F.col("text")))
+    return packing.pack_texts(table(spark, sf_dir, "documents"))
 
 
-@query("op7_sharding", sharding.oracle("documents", "doc_id", "doc_id, source, lang, n_chars"))
+@query("op7_sharding", sharding.oracle("documents", "doc_id", "doc_id, text, lang, source, n_chars"))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    return sharding.assign_shards(docs, "doc_id")
-
-
-@query("op7_whole_rows", sharding.oracle("documents", "doc_id", "doc_id, text, lang, source, n_chars"))
-def op7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.laid_out(table(spark, sf_dir, "documents"), "doc_id")
 
 
@@ -70,6 +64,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.tokenise(table(spark, sf_dir, "documents"))
 
 
+@query("op1_random_access", "SELECT doc_id, TRUE AS exact FROM documents WHERE text IS NOT NULL")
+def op1_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.random_access(table(spark, sf_dir, "documents"))
+
+
 @query("op8_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,6 +77,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "token_ids", F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha1("decoded").eqNullSafe(F.col("digest")).alias("round_trip"))
 
 
+@query("op8_round_trip", "SELECT doc_id, md5(text) AS digest FROM documents")
+def op8_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return back.select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("digest"))
+
+
 @query("op3_embedding_near_duplicates", embed.oracle())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_links(table(spark, sf_dir, "embeddings"))

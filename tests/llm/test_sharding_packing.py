@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, sharding
+from graphloom.llm import bpe, packing, sharding
 
 from . import util
 
@@ -59,14 +59,19 @@ def test_plan_equals_item_by_item(seed):
     lengths = [rng.randint(1, window) for _ in range(rng.randint(1, 400))]
     histogram = Counter(lengths)
     runs, count = packing.plan(histogram, window)
-    got = defaultdict(list)
+    got, placed = defaultdict(list), defaultdict(list)
     for length, n in histogram.items():
         own = sorted(r for r in runs if r[0] == length)
         for rank in range(n):
             _, at, first, fits, used = [r for r in own if r[1] <= rank][-1]
             w = first + (rank - at) // fits
-            assert used + (rank - at) % fits * length == sum(got[w]) or True
+            placed[w].append((used + (rank - at) % fits * length, length))
             got[w].append(length)
+    for pieces in placed.values():  # side by side from the start
+        ends = 0
+        for offset, length in sorted(pieces):
+            assert offset == ends
+            ends += length
     assert len(got) == count and Counter(tuple(sorted(w)) for w in got.values()) == brute(lengths, window)
 
 
@@ -81,11 +86,17 @@ def test_capacity_tree():
         assert tree.tightest(y) == min((h for h in have if h >= y), default=None)
 
 
-def test_packing_of_awkward_documents(spark):
+@pytest.mark.parametrize("in_order", [packing._IN_ORDER, 2])
+def test_packing_of_awkward_documents(spark, in_order):
     df = util.docs(spark)
-    rows = packing.pack(df, "doc_id", packing.word_count(F.col("text")), 512).collect()
+    rows = packing.pack(df, "doc_id", F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")) * (F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", ""))) > 0).cast("int"), 512, in_order).collect()
     words = [(r["doc_id"], len((r["text"] or "").split())) for r in df.collect()]
-    assert sum(r["n_tokens"] for r in rows) == sum(n for _, n in words)
+    check(rows, words, 512)
+
+
+def check(rows, sizes, window):
+    """Every piece lies once in a window, side by side, as item by item."""
+    assert sum(r["n_tokens"] for r in rows) == sum(n for _, n in sizes)
     by = defaultdict(list)
     for r in rows:
         by[r["window_id"]].append((r["window_offset"], r["n_tokens"]))
@@ -95,7 +106,18 @@ def test_packing_of_awkward_documents(spark):
         for offset, n in sorted(w):
             assert offset == at
             at += n
-        assert at <= 512
-    pieces = [n for _, k in words for n in [512] * (k // 512) + [k % 512] * (k % 512 > 0)]
-    assert Counter(tuple(sorted(n for _, n in w)) for w in by.values()) == brute(pieces, 512)
-    assert packing.pack(util.empty(spark), "doc_id", packing.word_count(F.col("text"))).count() == 0
+        assert at <= window
+    pieces = [n for _, k in sizes for n in [window] * (k // window) + [k % window] * (k % window > 0)]
+    assert Counter(tuple(sorted(n for _, n in w)) for w in by.values()) == brute(pieces, window)
+
+
+def test_packing_of_texts_counts_token_ids(spark):
+    df = util.docs(spark, [(600, "x" * 9000)])  # a word, yet many ids
+    sizes = [(r["doc_id"], len(r["token_ids"] or ())) for r in bpe.encode(df).collect()]
+    rows = packing.pack_texts(df, window=512).collect()
+    check(rows, sizes, 512)
+    assert len([r for r in rows if r["doc_id"] == 600]) > 2
+    again = packing.pack_texts(df.repartition(5), window=512).collect()
+    key = lambda rs: sorted(map(str, rs))
+    assert key(rows) == key(again)  # ties go in a fixed order
+    assert packing.pack_texts(util.empty(spark)).count() == 0

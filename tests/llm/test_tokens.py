@@ -47,7 +47,7 @@ def test_texts_round_trip_and_equal_the_library(spark):
         bpe.encode(df.withColumn("token_ids", F.lit(1)))
 
 
-@pytest.mark.parametrize("top", [1, 255, 256, 70_000, 2**31 - 1])
+@pytest.mark.parametrize("top", [1, 255, 256, 70_000, 2**31 - 1, 2**32 + 5, 2**63 - 1])
 def test_any_token_without_decoding(top):
     rng = np.random.default_rng(top)
     lists = [rng.integers(0, top, n).tolist() for n in (0, 1, 511, 512, 513, 5000)]
@@ -58,6 +58,26 @@ def test_any_token_without_decoding(top):
         assert all(reader[i] == ids[i] for i in range(0, len(ids), 97))
         with pytest.raises(IndexError):
             reader[len(ids)]
+        places = np.array([-1, len(ids), *range(0, len(ids), 61)])
+        assert dac.read_many([blob] * len(places), places).tolist() == [-1, -1, *(ids[i] for i in range(0, len(ids), 61))]
+
+
+def test_mixed_blobs_are_read_at_once():
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(0, 10 ** int(rng.integers(1, 12)), int(rng.integers(0, 2000))).tolist() for _ in range(80)]
+    blobs = dac.encode_many(np.array([i for x in lists for i in x], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
+    places = np.array([int(rng.integers(-1, len(x) + 1)) for x in lists])
+    assert dac.read_many(blobs, places).tolist() == [x[p] if 0 <= p < len(x) else -1 for x, p in zip(lists, places.tolist())]
+
+
+def test_pieces_that_only_share_a_hash_keep_their_ids(monkeypatch):
+    texts = pa.array(["alpha beta gamma delta", "beta beta  epsilon", None, "zeta"])
+    want = [x.tolist() for x in bpe.Codec(bpe.VOCABULARY).encode(texts)]
+    monkeypatch.setattr(bpe.K, "span_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64) + (ends - starts > 5))
+    poor = bpe.Codec(bpe.VOCABULARY)
+    for _ in range(2):
+        assert [x.tolist() for x in poor.encode(texts)] == want
+    assert poor.counts(texts).tolist() == np.diff(want[1]).tolist()
 
 
 def test_codes_of_tables(spark):
