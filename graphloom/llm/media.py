@@ -7,7 +7,7 @@ so the cost is a few array operations a symbol for thousands of frames. A cut li
 difference of their brightness histograms exceeds what the frames around it lead to expect.
 
 Defined cases: null and empty media, bytes that are no AVI file and files without video frames give no rows; a frame that
-can't be decoded (truncated, progressive, broken codes) shows what the frame before showed; a file that breaks off gives
+can't be decoded (truncated, progressive, broken codes, of more than 64 million samples) shows what the frame before showed; a file that breaks off gives
 the frames it has; a video of one frame is one shot; repeated rows give repeated rows; ties between neighbouring
 differences cut at the first; an empty table gives no rows; only id and media are read, so other columns can't clash.
 """
@@ -30,6 +30,8 @@ BINS = 32
 #: A cut needs this difference (half the sum of absolute bin differences) and this many deviations over its surroundings.
 LEAST_CUT, DEVIATIONS, AROUND = 0.25, 2.5, 6
 _FRAMES_AT_ONCE = 8192
+#: Lists within lists that are followed, and blocks of 8 x 8 samples of a frame that is decoded (64 million samples).
+_DEPTH, _MOST_BLOCKS = 16, 1 << 20
 
 ZIGZAG = np.array([i for s in range(15) for i in (lambda d: d if s % 2 else d[::-1])([r * 8 + s - r for r in range(max(0, s - 7), min(8, s + 1))])])
 _COSINE = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
@@ -93,17 +95,20 @@ def parse_avi(data: bytes | None) -> Video | None:
     video, stream, streams, index = Video(), None, 0, None
     movies: list[tuple[int, int]] = []
 
-    def walk(at: int, end: int) -> None:
-        nonlocal stream, streams, index
+    open_ = [(0, len(data), 0)]
+    while open_:
+        at, end, depth = open_.pop()
         while at + 8 <= end:
             kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
             body, to = at + 8, min(at + 8 + size, end)
+            at += 8 + size + (size & 1)
             if kind in (b"RIFF", b"LIST"):
                 name = data[body : body + 4]
                 if name == b"movi":
                     movies.append((body, to))
-                elif name in (b"AVI ", b"AVIX", b"hdrl", b"strl"):
-                    walk(body + 4, to)
+                elif name in (b"AVI ", b"AVIX", b"hdrl", b"strl") and depth < _DEPTH:
+                    open_ += [(at, end, depth), (body + 4, to, depth + 1)]
+                    break
             elif kind == b"avih" and to - body >= 40:
                 period, = struct.unpack_from("<I", data, body)
                 video.fps = video.fps or (1e6 / period if period else 0.0)
@@ -116,9 +121,7 @@ def parse_avi(data: bytes | None) -> Video | None:
                 streams += 1
             elif kind == b"idx1" and index is None:
                 index = data[body:to]
-            at += 8 + size + (size & 1)
 
-    walk(0, len(data))
     if stream is None or not movies:
         return None
     wanted = (b"%02ddc" % stream, b"%02ddb" % stream)
@@ -130,17 +133,18 @@ def parse_avi(data: bytes | None) -> Video | None:
                 video.frames = [data[base + o + 8 : base + o + 8 + n] for o, n in entries]
                 return video
 
-    def frames(at: int, end: int) -> None:
+    open_ = [(body + 4, to, 0) for body, to in reversed(movies)]
+    while open_:
+        at, end, depth = open_.pop()
         while at + 8 <= end:
             kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if kind == b"LIST":
-                frames(at + 12, min(at + 8 + size, end))
-            elif kind in wanted:
-                video.frames.append(data[at + 8 : min(at + 8 + size, end)])
+            body, to = at + 8, min(at + 8 + size, end)
             at += 8 + size + (size & 1)
-
-    for body, to in movies:
-        frames(body + 4, to)
+            if kind == b"LIST" and depth < _DEPTH:
+                open_ += [(at, end, depth), (body + 4, to, depth + 1)]
+                break
+            if kind in wanted:
+                video.frames.append(data[body:to])
     return video
 
 
@@ -329,6 +333,8 @@ def decode_luma(frames: list[bytes]) -> list[np.ndarray | None]:
         except (Broken, struct.error, IndexError, KeyError, ValueError):
             continue
         blocks = header.units * sum(h * v for h, v, *_ in header.parts)
+        # a block takes two bits at least, so a header that claims more than there is isn't followed
+        group = [(i, data) for i, data in group if 2 * blocks <= 8 * len(data) and blocks <= _MOST_BLOCKS]
         step = max(1, min(_FRAMES_AT_ONCE, (1 << 18) // max(1, blocks)))
         for at in range(0, len(group), step):
             some = group[at : at + step]
@@ -417,7 +423,7 @@ def clips(df: DataFrame, id_col: str, media_col: str, at_once: int = 256) -> Dat
 
     Times are seconds, the end of a shot is the start of the next; mean_luma is that of its decoded frames.
     """
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *T.StructType.fromDDL(_SHOTS).fields])
+    schema = T.StructType([T.StructField(id_col, df.schema.fields[df.columns.index(id_col)].dataType), *T.StructType.fromDDL(_SHOTS).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,6 +433,6 @@ def clips(df: DataFrame, id_col: str, media_col: str, at_once: int = 256) -> Dat
                 kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int64()] * 2 + [pa.float64()]
                 columns[4:6] = [np.round(c, 6) for c in columns[4:6]]
                 columns[8] = np.round(columns[8], 6)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["id", *schema.names[1:]])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{media_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{media_col}`")).toDF("id", "media").mapInArrow(run, T.StructType([T.StructField("id", schema[0].dataType), *schema.fields[1:]])).toDF(*schema.names)

@@ -9,7 +9,8 @@ the label of its document; of these every fifth is held out and gives the cut be
 greatest that keeps ``KEEP`` of the good ones, or the middle of the gap where good and bad do not overlap.
 
 Defined cases: a null or blank text has no lines; its quality is null and it is rejected. A null label, or a label of
-a document that isn't there, isn't used; repeated labels count once. With no usable labels of both kinds there is no
+a document that isn't there, isn't used; repeated labels count once; of several texts
+of one labelled id the one with the least hash is used. With no usable labels of both kinds there is no
 model, and every document with text has quality 1. Ties at the cut are kept. Repeated rows are scored alike. Other
 columns pass through; a column named ``quality_score`` or ``quality_keep`` in the input raises ValueError.
 """
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .lineage import positional
 
 MAX_TRAIN = 4000
+#: Labelled documents of more lines take no part in the fit, so what comes to the driver is bounded. Scoring has no bound.
+MAX_LINES = 400
 KEEP = 0.995
-#: Lines of training text that are used of one document, so that a few giant ones don't outweigh the rest.
+#: Features of a line itself.
 _OWN = 10
 N_FEATURES = 1 + 3 * _OWN + 3
 
@@ -187,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fie
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text"), "text")).alias("own"))
+    texts = texts.select("doc_id", "y", F.col("own.text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,14 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Fie
                 x, of, length = line_features(part.column("text"))
                 n = np.bincount(of, minlength=part.num_rows)
                 at = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": part.column("doc_id"), "y": part.column("y"), "x": pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), "length": pa.array([length[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())}
-                )
+                rows = np.flatnonzero((n > 0) & (n <= MAX_LINES))
+                blobs = ([v[at[i] : at[i + 1]].tobytes() for i in rows] for v in (x, length))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in ("doc_id", "y")), *(pa.array(v, pa.binary()) for v in blobs)], names=["doc_id", "y", "x", "length"])
 
     id_type, y_type = docs.schema["doc_id"].dataType, sample.schema["y"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("y", y_type), T.StructField("x", T.BinaryType()), T.StructField("length", T.BinaryType())])
     rows = sorted(texts.select("doc_id", "y", "text").mapInArrow(features, schema).collect(), key=lambda r: r["doc_id"])
-    rows = [r for r in rows if r["x"]]
     if len({r["y"] for r in rows}) < 2:
         return None
     held = rows[::5] if len({r["y"] for r in rows[::5]}) == 2 else rows
@@ -227,13 +231,13 @@ def score(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataF
     for name in ("quality_score", "quality_keep"):
         if name in docs.columns:
             raise ValueError(f"column {name} exists")
-    at = docs.columns.index(text_col)
+    at, names, docs = docs.columns.index(text_col), docs.columns, positional(docs)
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for part in K.chunks(batch, text_col):
+            for part in K.chunks(batch, f"c{at}"):
                 x, of, length = line_features(part.column(at))
                 if field is None:
                     q = np.where(np.bincount(of, minlength=part.num_rows) > 0, 1.0, np.nan)
@@ -244,4 +248,4 @@ def score(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataF
             keep = np.nan_to_num(q, nan=-1.0) >= (field.cut if field is not None else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(q, 6), pa.float64(), from_pandas=True), pa.array(keep)], names=[*batch.schema.names, "quality_score", "quality_keep"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "quality_score", "quality_keep")

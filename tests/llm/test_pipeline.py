@@ -1,9 +1,10 @@
 """The pipeline's stages against plain Python."""
 
+import itertools
 import random
 
 import corpus_pipeline as C
-from graphloom.llm import ngram_join, packing, pii, quality
+from graphloom.llm import bpe, ngram_join, packing, pii, quality
 from tests.llm import test_ngram_join, test_sharding_packing, test_substring, util  # noqa: F401
 
 
@@ -15,6 +16,7 @@ def corpus():
     rows += [(100 + i, "\n".join("$$ CLICK @@ 99 BUY !!!" for _ in range(4)) + f" {i}") for i in range(40)]
     rows += [(200, rows[3][1]), (201, rows[4][1] + " extra"), (202, prose(3) + "\n" + shared), (203, prose(2) + "\n" + shared), (204, prose(2) + "\nmail ann@corp.example.org now"), (205, None), (206, "  "), (None, prose(3))]
     rows.append(rows[5])
+    rows += [(3, prose(4)), (207, shared + " tail"), (207, prose(5))]  # ids with a text that is a copy, and one of their own
     return rows
 
 
@@ -31,18 +33,23 @@ def test_stages_and_run(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         if name == "quality classifier":
             assert not {str(i) for i in range(100, 140)} & set(ids(docs)) and "205" not in ids(docs) and {"0", "5", "203", "None"} <= set(ids(docs))
+        # a document is an id with a text
+        had = sorted({(r["doc_id"], r["text"]) for r in before.collect() if r["doc_id"] is not None})
+        left = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None)
         if name == "n-gram Jaccard join":
-            pairs = test_ngram_join.brute([(r["doc_id"], r["text"]) for r in before.collect()], ngram_join.GRAM, ngram_join.THRESHOLD)
-            gone = {str(i) for i, head in test_ngram_join.closure(pairs).items() if i != head}
-            assert gone >= {"200", "201"} and set(ids(docs)) == set(ids(before)) - gone
-            assert ids(docs).count("5") == 1
+            sets = [test_ngram_join.gram_set(t, ngram_join.GRAM) for _, t in had]
+            near = [(i, j) for i, j in itertools.combinations(range(len(had)), 2) if len(sets[i] & sets[j]) >= ngram_join.THRESHOLD * len(sets[i] | sets[j])]
+            head = test_ngram_join.closure(near)
+            assert left == [d for i, d in enumerate(had) if head.get(i, i) == i]
+            assert not {200, 201} & {i for i, _ in left} and [i for i, _ in left].count(3) == 2 and (207, rows[-1][1]) in left
         if name == "substring dedup":
-            _, kept = test_substring.brute([(r["doc_id"], r["text"]) for r in before.collect()], 50)
-            assert {r["doc_id"]: " ".join(r["text"].split()) for r in docs.where("doc_id IS NOT NULL").collect()} == {i: t for i, t in kept.items() if t}
+            _, kept = test_substring.brute([(d, d[1]) for d in had], 50)
+            assert sorted((i, " ".join(t.split())) for i, t in left) == sorted((d[0], t) for d, t in kept.items() if t)
+            assert (207, rows[-1][1]) in left
         if name == "PII":
             assert "[EMAIL]" in docs.where("doc_id = 204").first()["text"]
         assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
-    want = {(r["doc_id"], len(r["text"].split())) for r in docs.collect() if r["text"].split()}
+    want = {(r["doc_id"], len(r["token_ids"])) for r in bpe.encode(docs).collect() if r["token_ids"]}
     got = [r.asDict() for r in C.run(spark, str(tmp_path)).collect()]
     assert {(r["doc_id"], r["n_tokens"]) for r in got} == want  # no document here is longer than a window
     by = {}

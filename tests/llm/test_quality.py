@@ -86,3 +86,17 @@ def test_batches_do_not_matter(spark):
     field = Q.train(one, labels)
     key = lambda df: sorted((str(r["doc_id"]), str(r["quality_score"])) for r in Q.score(df, field).collect())
     assert key(one) == key(one.repartition(7))
+
+
+def test_labelled_texts_that_repeat_or_are_long(spark):
+    rows = corpus(1, 120)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame([*rows, (3, "another text\n" * 3), (0, "line\n" * (Q.MAX_LINES + 5))], "doc_id long, text string")
+    one, two = Q.train(docs, labels), Q.train(docs.repartition(5), labels)
+    assert one.cut == two.cut and (one.weights == two.weights).all()
+
+
+def test_dotted_names(spark):
+    df = spark.createDataFrame([(1, "A fine line of text.", "x")], "`doc.id` int, `the.text` string, c0 string")
+    out = Q.score(df, None, "the.text")
+    assert out.columns == [*df.columns, "quality_score", "quality_keep"] and out.first()["quality_score"] == 1.0
