@@ -23,6 +23,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def search_tokens(text: str) -> list[str]:
+    """Search tokens of a string, as the expression makes them."""
+    out, word = [], []
+    for c in text.lower() + " ":
+        if c.isalpha() or c.isnumeric():
+            word.append(c)
+        elif word:
+            out.append("".join(word))
+            word = []
+    return out
+
+
 def words(text: Column) -> Column:
     """Words of key phrases: letters, marks and digits with inner hyphens and apostrophes."""
     return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
@@ -38,10 +50,6 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def section_hash(doc: Column, text: Column) -> Column:
-    return F.sha2(F.concat(doc, F.lit("\n"), collapsed(text)), 256)
-
-
 def fingerprint(path: Column, canonical: Column, content: Column) -> Column:
     return F.upper(F.sha2(F.concat(path, F.lit("\n"), F.coalesce(canonical, F.lit("")), F.lit("\n"), content), 256))
 
@@ -62,12 +70,6 @@ def slug(label: Column) -> Column:
     return F.pandas_udf(_slugs, "string")(label)
 
 
-def ascii_slug(label: Column) -> Column:
-    """``slug`` for labels without accents, as a built-in expression."""
-    bare = F.regexp_replace(F.lower(label), r"[^a-z0-9\s-]", "")
-    return F.when(F.trim(F.coalesce(label, F.lit(""))) == "", "item").otherwise(F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", "-"), "-+", "-"), F.lit("-")))
-
-
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).lower())
 

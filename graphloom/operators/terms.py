@@ -56,14 +56,7 @@ def saturated(tf: Column, length: Column, average: Column, k1: float = K1, b: fl
 
 def terms_of(query: str) -> list[str]:
     """Distinct search tokens in order, as the expression makes them."""
-    out, word = [], []
-    for c in query.lower() + " ":
-        if c.isalpha() or c.isnumeric():
-            word.append(c)
-        elif word:
-            out.append("".join(word))
-            word = []
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys(X.search_tokens(query)))
 
 
 def _by_score(df: DataFrame, k: int | None, *ties: str) -> DataFrame:

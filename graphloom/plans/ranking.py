@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import terms, vectors
-from graphloom.plans.registry import ORACLES, query, table
+from graphloom.plans.registry import ORACLES, query, table, text_index
 
 ASKED = "the theran inen stel"
 MISSPELT = "therre inenn stelp erane"
@@ -45,7 +45,7 @@ def doc_length_stats(spark, sf_dir):
 
 @query("bm25_topk", _bm25())
 def bm25_topk(spark, sf_dir):
-    return terms.bm25(table(spark, sf_dir, "documents"), ASKED)
+    return text_index(spark, sf_dir).bm25(ASKED)
 
 
 @query("bm25_scoped", _bm25(" WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
@@ -67,7 +67,7 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""",
 )
 def bm25_batch(spark, sf_dir):
-    return terms.bm25_batch(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return text_index(spark, sf_dir).bm25_batch(table(spark, sf_dir, "benchmark"))
 
 
 @query("bm25_fuzzy", f"""
@@ -82,7 +82,7 @@ s AS (SELECT doc_id, round(sum(ln(1 + (stats.n - df + 0.5::DOUBLE) / (df + 0.5::
       FROM f JOIN df USING (q) JOIN t USING (doc_id), stats GROUP BY 1)
 SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""")
 def bm25_fuzzy(spark, sf_dir):
-    return terms.bm25(table(spark, sf_dir, "documents"), MISSPELT, fuzzy=1)
+    return text_index(spark, sf_dir).bm25(MISSPELT, fuzzy=1)
 
 
 _VOCABULARY = f"WITH t AS ({_TOKENS}), v AS (SELECT term, count(*) AS frequency FROM (SELECT unnest(toks) AS term FROM t) WHERE regexp_full_match(term, '[a-z0-9]+') GROUP BY 1), q(query_term) AS (VALUES {_values(MISSPELT)})"
@@ -109,7 +109,7 @@ n AS (SELECT *, levenshtein(term, query_term) AS d FROM v, q WHERE length(term)
 s AS (SELECT query_term, term, round(1 - d / greatest(length(term), length(query_term))::DOUBLE, 6) AS similarity, frequency FROM n WHERE query_term NOT IN (SELECT query_term FROM n WHERE d = 0))
 SELECT *, row_number() OVER (PARTITION BY query_term ORDER BY similarity DESC, frequency DESC, term) AS rank FROM s QUALIFY rank <= 3""")
 def fuzzy_corrections(spark, sf_dir):
-    return terms.corrections(table(spark, sf_dir, "documents"), MISSPELT, best=3)
+    return text_index(spark, sf_dir).corrections(MISSPELT, best=3)
 
 
 _WEIGHTS = f"""WITH t AS ({_TOKENS}), {_TF}, n AS (SELECT count(*) AS n_all FROM t), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -127,7 +127,7 @@ s AS (SELECT doc_id, sqrt(sum(w * w)) AS norm, sum(w * coalesce(qw, 0)) AS dot F
 SELECT doc_id, round(CASE WHEN norm IS NULL THEN 1 ELSE sqrt(greatest(0, 2 - 2 * dot / norm / (SELECT sqrt(sum(qw * qw)) FROM qw))) END, 6) AS distance
 FROM t LEFT JOIN s USING (doc_id) ORDER BY distance, doc_id LIMIT 3""")
 def token_distance_topk(spark, sf_dir):
-    return terms.token_distance(table(spark, sf_dir, "documents"), ASKED)
+    return text_index(spark, sf_dir).token_distance(ASKED)
 
 
 @query("related_segments", r"""

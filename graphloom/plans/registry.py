@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +23,19 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_INDEXES: dict[tuple, object] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str):  # noqa: ANN201
+    """The term index of the documents; built once a session for a table as it is (its files and their times)."""
+    from graphloom.operators import index
+
+    docs = table(spark, sf_dir, "documents")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet")
+    stamp = files.agg(F.count("*"), F.max("modificationTime"), F.sum("length")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *stamp)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build(docs)
+    return _INDEXES[key]
