@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import build, documents, shapes, terms, triples, vectors
+from graphloom.operators import build, documents, facts, shapes, terms, triples, vectors
 from graphloom.operators import search as graph_search
 from graphloom.operators import rules as rule_ops
 from graphloom.operators.lineage import written
@@ -73,19 +73,38 @@ class KnowledgeGraph:
         exact = graph_search.canonical(found, query, k)
         if mode == "graph":
             return exact
-        near = index.search(query, k)
+        near = index.search(query, k, among=found)
         if mode == "semantic":
             return near.join(found.select("node_id", "label"), "node_id").orderBy(F.desc("score"), "node_id")
         exact = exact.select("node_id", "score")
         return vectors.reciprocal_rank_fusion(exact, near, k) if fusion == "rrf" else vectors.canonical_first(exact, near, k)
 
     def search_by_schema(self, query: str, profile: graph_search.Profile = graph_search.Profile(), k: int = 10) -> dict[str, DataFrame]:
-        primary = graph_search.schema_search(self.triples, query, profile, k)
-        return {"primary": primary, "expansion": graph_search.expansion(self.triples, primary, profile)}
-
-    def search_focused(self, query: str, k: int = 3, related: int = 6, steps: int = 6, index: SemanticIndex | None = None) -> dict[str, DataFrame]:
-        """Primary matches, what relates to them, what comes next, and the part of the graph that holds all these."""
-        primary = written(self.search(query, "hybrid" if index else "graph", max(1, k), index).select("node_id", "score"))  # used four times
+        primary = written(graph_search.schema_matches(self.triples, query, profile, k))  # used several times
+        more = graph_search.expansion(self.triples, primary, profile)
+        nodes, edges = graph_search.schema_subgraph(self.triples, primary.select("node_id").unionByName(more.select("node_id")), profile)
+        return {"primary": primary.orderBy(F.desc("score"), F.lower(F.coalesce("label", "node_id")), "node_id"), "expansion": more, "nodes": nodes, "edges": edges}
+
+    def search_federated(self, query: str, services: dict[str, KnowledgeGraph], profile: graph_search.Profile = graph_search.Profile(), k: int = 10, allowed: set[str] | None = None) -> DataFrame:
+        """The schema search over other graphs by address, allowed ones only; evidence says where it is from."""
+        refused = set(services) - (set(services) if allowed is None else allowed)
+        if refused:
+            raise PermissionError(f"not allowed: {sorted(refused)}")
+        return graph_search.schema_matches({a: g.triples for a, g in services.items()}, query, profile, k)
+
+    def __getitem__(self, node: str) -> dict[str, list[str]]:
+        """The values of one node by prefixed predicate; its triples come to the driver."""
+        out: dict[str, list[str]] = {}
+        for r in self.triples.where(F.col("s") == triples.iri(node)).select(triples.curie(F.col("p")).alias("p"), "o").orderBy("p", "o").collect():
+            out.setdefault(r["p"], []).append(r["o"])
+        return out
+
+    def search_focused(self, query: str, k: int = 3, related: int = 6, steps: int = 6, index: SemanticIndex | None = None, profile: graph_search.Profile | None = None) -> dict[str, DataFrame]:
+        """Primary matches, what relates to them, what comes next, and the part of the graph that holds all these.
+
+        With a ``profile`` the primary matches are those of a schema search."""
+        first = graph_search.schema_search(self.triples, query, profile, max(1, k)) if profile else self.search(query, "hybrid" if index else "graph", max(1, k), index)
+        primary = written(first.select("node_id", "score"))  # used four times
         near, following = graph_search.related(self.triples, primary, related), graph_search.next_steps(self.triples, primary, steps)
         every = primary.select("node_id").unionByName(near.select("node_id")).unionByName(following.select("node_id"))
         return {"primary": primary, "related": near, "next_steps": following, "graph": graph_search.subgraph(self.triples, every)}
@@ -112,14 +131,20 @@ class KnowledgeGraph:
     def snapshot(self) -> tuple[DataFrame, DataFrame]:
         return rdf.snapshot(self.triples)
 
+    @staticmethod
+    def from_snapshot(nodes: DataFrame, edges: DataFrame) -> KnowledgeGraph:
+        return KnowledgeGraph(rdf.from_snapshot(nodes, edges))
+
 
 @dataclass
 class SemanticIndex:
     vectors: DataFrame
     embed_query: Callable[[str], Sequence[float]]
 
-    def search(self, query: str, k: int = 10, least: float = 0.4) -> DataFrame:
-        return vectors.semantic(self.vectors, self.embed_query(query), k, least, id_col="node_id")
+    def search(self, query: str, k: int = 10, least: float = 0.4, among: DataFrame | None = None) -> DataFrame:
+        """The nearest nodes; with ``among`` (node_id) of these only."""
+        own = self.vectors if among is None else self.vectors.join(among.select("node_id").distinct(), "node_id", "left_semi")
+        return vectors.semantic(own, self.embed_query(query), k, least, id_col="node_id")
 
 
 @dataclass
@@ -152,13 +177,36 @@ class Build:
             query = terms.corrected(self.sources, query, edits=fuzzy, id_col="path", text_col="content")
         return terms.token_distance(self.sources, query, k, "path", "content")
 
-    def answer(self, question: str, model: Callable[[str], str], k: int = 5, rewrite: Callable[[str], str] | None = None) -> dict:
-        """A model's answer from the best matching documents, with numbered citations; at most k rows reach the driver."""
-        asked = rewrite(question) if rewrite else question
-        best = terms.bm25(self.sources, asked, k, "path", "content").withColumnRenamed("doc_id", "path")
-        rows = best.join(self.sources.select("path", "content"), "path").select("path", "score", X.snippet(F.col("content"), F.lit(asked)).alias("snippet")).orderBy(F.desc("score"), "path").collect()
-        cited = [{"index": i, "document": r["path"], "score": r["score"], "snippet": r["snippet"]} for i, r in enumerate(rows, 1)]
-        prompt = "\n".join([*[f"[{c['index']}] {c['document']}: {c['snippet']}" for c in cited], f"Question: {asked}"])
+    def nodes(self) -> DataFrame:
+        """(doc_id, path): the node of every source."""
+        return build.named(self.sources, self.options)
+
+    def node_chunks(self, chunker: Callable[[str], list[dict]] = documents.chunks_of) -> DataFrame:
+        """``chunks`` by the node of their document."""
+        own = self.chunks(chunker).withColumnRenamed("doc_id", "source_path")
+        return own.join(self.nodes().select(F.col("path").alias("source_path"), "doc_id"), "source_path")
+
+    def search(self, query: str, k: int = 10, fuzzy: int = 0, scope: DataFrame | None = None) -> DataFrame:
+        """(node_id, score) by BM25 over the graph's nodes, documents with the text of their chunks. ``scope``: (node_id)
+        of the documents that may be used, with what is derived from them."""
+        found = graph_search.document_candidates(graph_search.candidates(self.graph.triples), self.node_chunks())
+        allowed = None if scope is None else graph_search.in_scope(self.graph.triples, scope)
+        return terms.bm25(found, query, k, id_col="node_id", fuzzy=fuzzy, candidates=allowed).withColumnRenamed("doc_id", "node_id")
+
+    def answer(self, question: str, model: Callable[[str], str], k: int = 5, rewrite: Callable[[str], str] | None = None, history: Sequence[tuple[str, str]] = (), scope: DataFrame | None = None) -> dict:
+        """A model's answer from the best matching chunks, with numbered citations, one a document.
+
+        ``history`` (role, text) goes to ``rewrite``, which makes a question that stands alone, and into the prompt.
+        At most k rows reach the driver."""
+        told = "\n".join(f"{role}: {text}" for role, text in history)
+        asked = rewrite(f"{told}\nuser: {question}" if told else question) if rewrite else question
+        matches = written(self.search(asked, 4 * k, scope=scope))
+        found = graph_search.candidates(self.graph.triples).select("node_id", "label", "description")
+        best = graph_search.best_chunks(matches.join(found, "node_id"), self.graph.triples, self.node_chunks(), asked)
+        first = best.groupBy("document").agg(F.max_by(F.struct("score", "text"), F.struct("score", "anchor")).alias("b"))
+        rows = first.select("document", "b.score", X.snippet(F.col("b.text"), F.lit(asked)).alias("snippet")).orderBy(F.desc("score"), "document").limit(k).join(self.nodes().select(F.col("doc_id").alias("document"), "path"), "document", "left")
+        cited = [{"index": i, "document": r["path"] or r["document"], "score": r["score"], "snippet": r["snippet"]} for i, r in enumerate(sorted(rows.collect(), key=lambda r: (-r["score"], r["document"])), 1)]
+        prompt = "\n".join([*[f"[{c['index']}] {c['document']}: {c['snippet']}" for c in cited], *([told] if told else []), f"Question: {asked}"])
         return {"answer": model(prompt), "citations": cited}
 
 
@@ -166,9 +214,17 @@ class KnowledgeBank:
     def __init__(self, spark: SparkSession, options: build.Options = build.Options()) -> None:
         self.spark, self.options = spark, options
 
-    def build(self, sources: DataFrame, tokens: bool = False, layers: bool = True) -> Build:
-        """From (path, content[, canonical]) rows. The graph is written once to the shared folder."""
-        return Build(KnowledgeGraph(written(build.graph(sources, self.options, tokens, layers))), sources, self.options)
+    def build(self, sources: DataFrame, tokens: bool = False, layers: bool = True, model: Callable[[str, str], object] | None = None, cache: str | None = None, made_by: Sequence[str] = ()) -> Build:
+        """From (path, content[, canonical]) rows. The graph is written once to the shared folder.
+
+        A ``model`` of (document, chunk) adds the facts it finds in the chunks; a ``cache`` folder keeps its answers."""
+        parts = [build.graph(sources, self.options, tokens, layers)]
+        if model is not None:
+            chunks = Build(None, sources, self.options).node_chunks().select("doc_id", "ord", "text")
+            answers = facts.cached(chunks, model, cache, *made_by) if cache else facts.extract(chunks, model)
+            found = written(facts.parsed(answers.where("payload IS NOT NULL")))
+            parts.append(facts.as_triples(*facts.merge(facts.entity_rows(found, self.options.base), facts.assertion_rows(found, self.options.base))))
+        return Build(KnowledgeGraph(written(triples.merge(*parts))), sources, self.options)
 
     def build_from_markdown(self, content: str, path: str = "document.md", **options: bool) -> Build:
         return self.build(files.inline(self.spark, [(path, content)]), **options)

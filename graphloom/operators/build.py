@@ -9,16 +9,17 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import slug_of
 from graphloom.operators import documents, terms
+from graphloom.operators.search import Profile
 from graphloom.operators.triples import BASE, COLUMNS, PREFIXES, SCHEMA, TYPE, XSD, branch, iri, merge, of_rows, union
 
 ALIASES = {"mentions": "schema:mentions", "about": "schema:about", "author": "schema:author", "creator": "schema:creator", "haspart": "schema:hasPart", "ispartof": "schema:isPartOf", "sameas": "schema:sameAs", "relatedto": "kb:relatedTo", "memberof": "kb:memberOf", "nextstep": "kb:nextStep", "name": "schema:name", "description": "schema:description"}
@@ -30,11 +31,17 @@ class Options:
     entry_types: tuple[str, ...] = ()
     profile: str = ""
     reify: bool = False
+    strict: bool = False  # front matter that can't be read raises; else its document is left out, and told of in diagnostics
     prefixes: dict = field(default_factory=lambda: dict(PREFIXES))
 
 
 #: What documents of a kind are typed as besides articles.
 PRESETS = {k: Options(entry_types=(t,), profile=k) for k, t in {"documentation": "schema:TechArticle", "capability-workflow": "schema:HowTo", "runbook": "schema:HowTo", "decision-log": "schema:Report", "service-catalog": "schema:Service"}.items()}
+_TEXT = {"schema:name": 1.0, "schema:description": 0.8, "schema:keywords": 0.8}
+_PLAIN = Profile(text=_TEXT, relations={}, expansions={}, mode="all")
+_WORKFLOW = Profile(text=_TEXT, mode="all")
+#: How documents of a kind are searched: those about steps along their relations too.
+SEARCH_PRESETS = {"documentation": _PLAIN, "capability-workflow": _WORKFLOW, "runbook": _WORKFLOW, "decision-log": _PLAIN, "service-catalog": _PLAIN}
 
 
 def many(value: Any) -> list:
@@ -57,7 +64,7 @@ def document_id(path: str, content: str, fields: dict, canonical: str | None, ba
         return str(fields["canonicalurl"])
     if not path.strip():
         return f"{base}document/{hashlib.sha256(content.encode()).hexdigest()[:16]}"
-    path = re.sub(r"(?i)^content/", "", path.replace("\\", "/").lstrip("./"))
+    path = re.sub(r"(?i)^content/", "", re.sub(r"^(?:\./|/)+", "", path.replace("\\", "/")))
     return base + re.sub(r"\.[A-Za-z0-9]+$", "", path) + "/"
 
 
@@ -124,12 +131,17 @@ class _Writer:
 def of_document(path: str, content: str, canonical: str | None = None, options: Options = Options()) -> tuple[list[tuple], list[str]]:
     """Triples of one document, and what was wrong with its authored graph entries."""
     content = content.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    fields, body = documents.front_matter(content)
+    try:
+        fields, body = documents.front_matter(content)
+    except ValueError as e:
+        if options.strict:
+            raise
+        return [], [f"front matter: {e}"]
     sections = documents.outline(body)
     if not fields and not body.strip():
         return [], []
     own = {**options.prefixes, **{str(k): str(v) for k, v in (fields.get("rdfprefixes") or {}).items()}}
-    options = Options(options.base, options.entry_types, options.profile, options.reify, own)
+    options = replace(options, prefixes=own)
     w, doc = _Writer(options), document_id(path, content, fields, canonical, options.base)
     w.link(doc, "rdf:type", iri("schema:Article"))
     for t in [*options.entry_types, *many(fields.get("rdftypes") or [])]:
@@ -183,6 +195,24 @@ def authored(sources: DataFrame, options: Options = Options()) -> DataFrame:
     return sources.select("path", "content", canonical.alias("canonical")).mapInPandas(run, SCHEMA)
 
 
+def named(sources: DataFrame, options: Options = Options()) -> DataFrame:
+    """(path, doc_id) of (path, content[, canonical]) rows: the node of each document."""
+    canonical = F.col("canonical") if "canonical" in sources.columns else F.lit(None).cast("string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, c, k in zip(batch["path"], batch["content"], batch["canonical"]):
+                try:
+                    fields, _ = documents.front_matter((c or "").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
+                except ValueError:
+                    fields = {}
+                rows.append((p, document_id(p or "", c or "", fields, k or None, options.base)))
+            yield pd.DataFrame(rows, columns=["path", "doc_id"])
+
+    return sources.select("path", "content", canonical.alias("canonical")).mapInPandas(run, "path string, doc_id string")
+
+
 def diagnostics(sources: DataFrame, options: Options = Options()) -> DataFrame:
     """(path, problem) of authored graph entries that were left out."""
 
@@ -239,7 +269,12 @@ def token_facts(sources: DataFrame, options: Options = Options(), topics: int =
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
-                fields, body = documents.front_matter((content or "").replace("\r\n", "\n"))
+                try:
+                    fields, body = documents.front_matter((content or "").replace("\r\n", "\n"))
+                except ValueError:
+                    if options.strict:
+                        raise
+                    continue
                 doc, n = document_id(path or "", content or "", fields, None, base), 0
                 for sec in documents.outline(body):
                     if not sec["text"]:
@@ -276,3 +311,26 @@ def graph(sources: DataFrame, options: Options = Options(), tokens: bool = False
         base = union(*parts)
         parts += [ontology(base), concepts(base, options.base)]
     return merge(*parts)
+
+
+def of_fields(spark: SparkSession, document: str, name: str, keywords: Sequence[str] = (), description: str = "", assertions: Sequence[tuple] = (), base: str = BASE) -> DataFrame:
+    """Triples of one document from its fields alone. Keywords are one text, joined by commas. ``assertions`` (s, p, o,
+    confidence, chunk, start, end) are written as links and as statements with where they were found."""
+    w = _Writer(Options(base))
+    w.link(document, "rdf:type", iri("schema:Article"))
+    w.text(document, "schema:name", name)
+    w.text(document, "schema:description", description)
+    w.text(document, "schema:keywords", ", ".join(k.strip() for k in keywords if k.strip()))
+    for s, p, o, *rest in assertions:
+        verb = w.predicate(p)
+        if verb is None:
+            raise ValueError(f"unknown predicate: {p}")
+        s, o = w.resolve(s), w.resolve(o)
+        w.link(s, verb, o)
+        at = f"{base}assertion/{hashlib.sha256(chr(10).join((s, verb, o)).encode()).hexdigest()[:16]}"
+        for q, v in (("rdf:type", iri("kb:KnowledgeAssertion")), ("rdf:subject", s), ("rdf:predicate", verb), ("rdf:object", o), ("prov:wasDerivedFrom", document)):
+            w.link(at, q, v)
+        for q, v, dt in zip(("kb:confidence", "kb:chunk", "kb:startOffset", "kb:endOffset"), rest, ("double", "string", "integer", "integer")):
+            if v is not None:
+                w.text(at, q, v, XSD + dt)
+    return spark.createDataFrame(w.rows, SCHEMA).dropDuplicates(COLUMNS)

@@ -9,11 +9,13 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions import text as X
 from graphloom.sources.yamlish import load_yaml
@@ -22,7 +24,7 @@ TARGET, OVERLAP = 750, 0
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.+)$", re.M)
 _LINK = re.compile(r"(?P<wiki>\[\[(?P<wt>[^\]|]+)(?:\|(?P<wl>[^\]]+))?\]\])|(?P<bang>!?)\[(?P<label>[^\]]*)\]\((?P<target>[^)\s]+)(?:\s+\"[^\"]*\")?\)")
 _WIDE = re.compile(X.WIDE)
-#: Expected passages are matched by one automaton a task up to so many; beyond it by a join.
+#: Expected passages of one automaton.
 MOST_PASSAGES = 200_000
 
 SECTION = "struct<ord:bigint,level:int,heading:string,path:array<string>,text:string>"
@@ -67,19 +69,62 @@ def outline(body: str) -> list[dict]:
     return out
 
 
+_ITEM = re.compile(r"\s{0,3}(?:[-*+]|\d{1,9}[.)])\s")
+_HTML = re.compile(r"\s{0,3}</?[A-Za-z!?][^>]*>?")
+_RULE = re.compile(r"\s{0,3}(?:(?:\*\s*){3,}|(?:-\s*){3,}|(?:_\s*){3,})$")
+
+
 def blocks(text: str) -> list[str]:
-    """Blocks between blank lines; a fenced block is one whole block."""
-    out, held, fence = [], [], None
+    """Top-level blocks: fenced and indented code, lists, quotes, tables, HTML, rules, headings and paragraphs. Blank lines
+    end a block, but for a fence and for a list whose next line is an item or is indented."""
+    out: list[str] = []
+    held: list[str] = []
+    kind, fence, gap = "", None, 0
+
+    def close() -> None:
+        nonlocal held, kind, gap
+        if held:
+            out.append("\n".join(held))
+        held, kind, gap = [], "", 0
+
     for line in text.split("\n"):
-        mark = re.match(r"\s*(```+|~~~+)", line)
-        if mark:
-            fence = None if fence and mark[1].startswith(fence) else fence or mark[1]
-        if line.strip() or fence:
+        mark = re.match(r"\s{0,3}(```+|~~~+)", line)
+        if kind == "fence":
             held.append(line)
-        elif held:
-            out.append("\n".join(held))
-            held = []
-    return [*out, "\n".join(held)] if held else out
+            if mark and mark[1].startswith(fence) and not line.strip().strip(mark[1][0]):
+                close()
+            continue
+        if not line.strip():
+            if kind in ("list", "code"):
+                gap += 1
+            else:
+                close()
+            continue
+        deep = line.startswith(("  ", "\t"))
+        own = "list" if _ITEM.match(line) and not _RULE.match(line) else "quote" if line.lstrip().startswith(">") else "table" if line.lstrip().startswith("|") else "html" if _HTML.match(line) else ""
+        if mark and not (kind == "list" and deep):
+            close()
+            kind, fence, held = "fence", mark[1], [line]
+            continue
+        if kind == "list" and (deep or own == "list" or not gap and not own) or kind == "code" and line.startswith(("    ", "\t")):
+            held += [""] * gap + [line]
+            gap = 0
+            continue
+        if kind == "code" or kind == "list" or (kind == "quote" and gap):
+            close()
+        if _RULE.match(line) and not held or re.match(r"#{1,6}[ \t]", line):
+            close()
+            out.append(line)
+            continue
+        if not held and line.startswith(("    ", "\t")):
+            kind, held = "code", [line]
+            continue
+        if own in ("list", "quote", "table", "html") and own != kind and not (own in ("table", "html") and kind == "paragraph"):
+            close()
+        held.append(line)
+        kind = kind or own or "paragraph"
+    close()
+    return out
 
 
 def units(text: str) -> int:
@@ -225,35 +270,40 @@ def quality_sample(found: DataFrame, n: int, seed: int = 42) -> DataFrame:
 def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_id: str = "item_id", passage: str = "text", most: int = MOST_PASSAGES) -> DataFrame:
     """(item_id, doc_id) of texts that contain a passage, letter case aside.
 
-    Up to ``most`` passages are one automaton that every task builds and runs over its texts once; more are joined.
-    """
+    Passages are taken in blocks of about ``most``: each block is one automaton that tasks build and run over their texts
+    once, so the driver and an executor hold one block, however many passages there are."""
     wanted = passages.select(F.col(passage_id).alias("item_id"), F.lower(F.col(passage)).alias("passage")).where("passage <> ''")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"))
-    rows = wanted.limit(most + 1).collect()
-    if len(rows) > most:
-        return texts.join(wanted, F.contains("low", "passage")).select("item_id", "doc_id")
-    ids: dict[str, list] = {}
-    for r in rows:
-        ids.setdefault(r["passage"], []).append(r["item_id"])
-    schema = f"item_id {wanted.schema['item_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}"
-    if not ids:
-        return docs.sparkSession.createDataFrame([], schema)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for text, items in ids.items():
-            automaton.add_word(text, items)
-        automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for doc, low in zip(batch["doc_id"], batch["low"]):
-                found = {i for _, items in automaton.iter(low or "") for i in items}
-                out += [(i, doc) for i in sorted(found)]
-            yield pd.DataFrame(out, columns=["item_id", "doc_id"])
-
-    return texts.mapInPandas(run, schema)
+    schema = T.StructType([T.StructField("item_id", wanted.schema["item_id"].dataType), T.StructField("doc_id", texts.schema["doc_id"].dataType)])
+    spark, parts = docs.sparkSession, max(1, -(-wanted.count() // most))
+
+    def block(ids: dict[str, list]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(ids)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for text, items in shared.value.items():
+                automaton.add_word(text, items)
+            automaton.make_automaton()
+            for batch in batches:
+                out = []
+                for doc, low in zip(batch["doc_id"], batch["low"]):
+                    found = {i for _, items in automaton.iter(low or "") for i in items}
+                    out += [(i, doc) for i in sorted(found)]
+                yield pd.DataFrame(out, columns=["item_id", "doc_id"])
+
+        return texts.mapInPandas(run, schema)
+
+    found = []
+    for i in range(parts):
+        ids: dict[str, list] = {}
+        for r in wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).collect():
+            ids.setdefault(r["passage"], []).append(r["item_id"])
+        if ids:
+            found.append(block(ids))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def coverage(docs: DataFrame, expectations: DataFrame, **names: str) -> DataFrame:

@@ -81,9 +81,15 @@ def contract(required: Sequence[str], facets: Sequence[str] = (), links: Sequenc
     ]
 
 
+_ENTITIES = ("Thing", "Person", "Organization", "SoftwareApplication", "CreativeWork", "DefinedTerm")
 DEFAULT = [
     Shape("article name", "schema:name", "schema:Article", min_count=1, node_kind="literal"),
     Shape("article source", "prov:wasDerivedFrom", "schema:Article", min_count=1, node_kind="iri"),
+    *[Shape(f"{c} name", "schema:name", f"schema:{c}", min_count=1, node_kind="literal") for c in _ENTITIES],
+    Shape("same as", "schema:sameAs", target_subjects_of="schema:sameAs", node_kind="iri"),
+    Shape("source", "prov:wasDerivedFrom", target_subjects_of="prov:wasDerivedFrom", node_kind="iri"),
+    *[Shape(f"statement {p}", f"rdf:{p}", "rdf:Statement", min_count=1, max_count=1, node_kind="iri") for p in ("subject", "predicate", "object")],
+    Shape("statement confidence", "kb:confidence", "rdf:Statement", min_count=1, max_count=1),
     Shape("confidence", "kb:confidence", target_subjects_of="kb:confidence", least=0, most=1),
 ]
 

@@ -7,9 +7,10 @@ projection, and the corpus statistics come from one global aggregate of a single
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +26,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: What splits a text column into an array of tokens: search tokens, or e.g. ``subwords`` of a tokenizer.
+Split = Callable[[Column], Column]
+
+
+def subwords(encode: Callable[[list[str]], list[list[int]]]) -> Split:
+    """Tokens by a tokenizer: ``encode`` gives the ids of each text of a batch; ids become their decimal names."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([[str(i) for i in ids] for ids in encode([t or "" for t in batch])])
+
+    return lambda text: F.pandas_udf(run, "array<string>")(text)
+
+
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: Split | None = None) -> DataFrame:
+    if split is not None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(split(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(X.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
 
 
-def term_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def term_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: Split | None = None) -> DataFrame:
     """(doc_id, term, n)."""
-    return tokenised(docs, id_col, text_col).select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return tokenised(docs, id_col, text_col, split).select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,9 +160,11 @@ def corrected(docs: DataFrame, query: str, **options: int) -> str:
     return " ".join([query, *[r["term"] for r in rows]])
 
 
-def weights(docs: DataFrame, kind: str = "tfidf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def weights(docs: DataFrame, kind: str = "tfidf", id_col: str = "doc_id", text_col: str = "text", split: Split | None = None) -> DataFrame:
     """(doc_id, term, weight), scaled to length 1: ``tf``, ``binary`` or ``tfidf``."""
-    tf = term_frequency(docs, id_col, text_col)
+    tf = term_frequency(docs, id_col, text_col, split)
+    if kind not in ("tf", "binary", "tfidf"):
+        raise ValueError("kind must be tf, binary or tfidf")
     if kind == "tfidf":
         n = docs.agg(F.count("*").alias("n_all"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -156,6 +175,26 @@ def weights(docs: DataFrame, kind: str = "tfidf", id_col: str = "doc_id", text_c
     return tf.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
+def subword_distance(docs: DataFrame, query: str, split: Split, k: int = 3, kind: str = "tfidf", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, distance) as ``token_distance``, of the tokens that ``split`` gives and of any weights."""
+    spark = docs.sparkSession
+    asked = spark.createDataFrame([(0, query)], "doc_id int, text string")
+    tf = term_frequency(docs, id_col, text_col, split)
+    own = term_frequency(asked, split=split).select("term", F.col("n").alias("qn"))
+    scale = lambda n: F.lit(1.0) if kind == "binary" else n.cast("double") if kind == "tf" else n * (F.log((F.col("n_all") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
+    if kind not in ("tf", "binary", "tfidf"):
+        raise ValueError("kind must be tf, binary or tfidf")
+    total, df = docs.agg(F.count("*").alias("n_all")), tf.groupBy("term").agg(F.count("*").alias("df"))
+    q = F.broadcast(own).join(df, "term", "left").crossJoin(F.broadcast(total)).select("term", scale(F.col("qn")).alias("qw"))  # a query's terms
+    qnorm = q.agg(F.coalesce(F.sqrt(F.sum(F.col("qw") * F.col("qw"))), F.lit(0.0)).alias("qnorm"))
+    w = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", scale(F.col("n"))).join(F.broadcast(q), "term", "left")
+    sums = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"))
+    every = docs.select(F.col(id_col).alias("doc_id")).join(sums, "doc_id", "left").crossJoin(F.broadcast(qnorm))
+    both, either = (F.col("qnorm") == 0) & F.col("norm").isNull(), (F.col("qnorm") == 0) | F.col("norm").isNull()
+    distance = F.when(both, 0.0).when(either, 1.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot") / F.col("norm") / F.col("qnorm"))))
+    return every.select("doc_id", F.round(distance, 6).alias("distance")).orderBy("distance", "doc_id").limit(k)
+
+
 def token_distance(docs: DataFrame, query: str, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, distance) of the k documents nearest to the query by Euclidean distance of scaled tf-idf vectors.
 
