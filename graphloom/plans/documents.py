@@ -94,33 +94,6 @@ def page_links(spark, sf_dir):
 
 # -- exports
 
-_NATIONS = f"SELECT '{BASE}nation/' || n_nationkey AS s, '{iri('kb:memberOf')}' AS p, '{BASE}region/' || n_regionkey AS o FROM nation"
-
-
-def _nations(spark, sf_dir):
-    return triples.star(spark, sf_dir).where(F.col("p").isin(iri("kb:memberOf"), iri("schema:name")) & F.startswith("s", F.lit(f"{BASE}nation/")))
-
-
-@query("ntriples_lines", f"SELECT '<' || s || '> <' || p || '> <' || o || '> .' AS value FROM ({_NATIONS}) UNION ALL SELECT '<{BASE}nation/' || n_nationkey || '> <{iri('schema:name')}> \"' || n_name || '\" .' FROM nation")
-def ntriples_lines(spark, sf_dir):
-    return rdf.ntriples(_nations(spark, sf_dir))
-
-
-@query("mermaid_edges", f"SELECT '  n' || substr(sha256(s), 1, 12) || '[\"' || s || '\"] -->|kb:memberOf| n' || substr(sha256(o), 1, 12) || '[\"' || o || '\"]' AS value FROM ({_NATIONS})")
-def mermaid_edges(spark, sf_dir):
-    return rdf.mermaid(_nations(spark, sf_dir))
-
-
-@query("dot_edges", f"SELECT '  \"' || s || '\" -> \"' || o || '\" [label=\"kb:memberOf\"];' AS value FROM ({_NATIONS})")
-def dot_edges(spark, sf_dir):
-    return rdf.dot(_nations(spark, sf_dir))
-
-
-@query("edge_order", f"SELECT row_number() OVER (ORDER BY s, p, o) AS n, s, p, o FROM ({_NATIONS})")
-def edge_order(spark, sf_dir):
-    return rdf.numbered_edges(_nations(spark, sf_dir))
-
-
 def _graph(spark, sf_dir):
     return triples.union(triples.star(spark, sf_dir), triples.corpus(spark, sf_dir))
 
@@ -129,24 +102,24 @@ _QUOTED = lambda c: f"""replace(replace(replace(replace(replace({c}, chr(92), ch
 _SHORT = "CASE " + " ".join(f"WHEN starts_with(p, '{v}') THEN '{k}:' || substr(p, {len(v) + 1})" for k, v in sorted(PREFIXES.items(), key=lambda x: -len(x[1]))) + " ELSE p END"
 
 
-@query("ntriples_graph", f"""
+@query("ntriples_lines", f"""
 WITH {GRAPH} SELECT '<' || s || '> <' || p || '> ' || CASE WHEN dt IS NULL THEN '<' || o || '>' ELSE '"' || {_QUOTED("o")} || '"' || CASE WHEN dt = 'string' THEN '' ELSE '^^<{triples.XSD}' || dt || '>' END END || ' .' AS value FROM g""")
-def ntriples_graph(spark, sf_dir):
+def ntriples_lines(spark, sf_dir):
     return rdf.ntriples(_graph(spark, sf_dir))
 
 
-@query("mermaid_graph", f"""WITH {GRAPH} SELECT '  n' || substr(sha256(s), 1, 12) || '["' || s || '"] -->|' || {_SHORT} || '| n' || substr(sha256(o), 1, 12) || '["' || o || '"]' AS value FROM g WHERE dt IS NULL""")
-def mermaid_graph(spark, sf_dir):
+@query("mermaid_edges", f"""WITH {GRAPH} SELECT '  n' || substr(sha256(s), 1, 12) || '["' || s || '"] -->|' || {_SHORT} || '| n' || substr(sha256(o), 1, 12) || '["' || o || '"]' AS value FROM g WHERE dt IS NULL""")
+def mermaid_edges(spark, sf_dir):
     return rdf.mermaid(_graph(spark, sf_dir))
 
 
-@query("dot_graph", f"""WITH {GRAPH} SELECT '  "' || s || '" -> "' || o || '" [label="' || {_SHORT} || '"];' AS value FROM g WHERE dt IS NULL""")
-def dot_graph(spark, sf_dir):
+@query("dot_edges", f"""WITH {GRAPH} SELECT '  "' || s || '" -> "' || o || '" [label="' || {_SHORT} || '"];' AS value FROM g WHERE dt IS NULL""")
+def dot_edges(spark, sf_dir):
     return rdf.dot(_graph(spark, sf_dir))
 
 
-@query("edge_order_graph", f"WITH {GRAPH} SELECT row_number() OVER (ORDER BY s, p, o) AS n, s, p, o FROM g WHERE dt IS NULL")
-def edge_order_graph(spark, sf_dir):
+@query("edge_order", f"WITH {GRAPH} SELECT row_number() OVER (ORDER BY s, p, o) AS n, s, p, o FROM g WHERE dt IS NULL")
+def edge_order(spark, sf_dir):
     return rdf.numbered_edges(_graph(spark, sf_dir))
 
 

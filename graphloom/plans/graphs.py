@@ -54,8 +54,8 @@ sparql(
 )
 sparql(
     "filter_not_exists",
-    "SELECT ?c WHERE { ?c a kb:Customer FILTER NOT EXISTS { ?o schema:customer ?c } }",
-    f"SELECT '{BASE}customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    'SELECT ?c WHERE { ?c a kb:Customer FILTER NOT EXISTS { ?o schema:customer ?c ; kb:priority "1-URGENT" } }',
+    f"SELECT '{BASE}customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 )
 sparql(
     "values_bind",
@@ -192,14 +192,8 @@ def changed_literals(spark, sf_dir):
     return triples.changed_literals(g, _edited(g))
 
 
-@query("graph_merge", "SELECT count(*) AS n FROM (SELECT DISTINCT n_nationkey, n_name FROM nation)")
+@query("graph_merge", f"WITH {GRAPH} SELECT DISTINCT s, p, o, dt FROM g")
 def graph_merge(spark, sf_dir):
-    names = triples.star(spark, sf_dir).where((F.col("p") == iri("schema:name")) & F.startswith("s", F.lit(f"{BASE}nation/")))
-    return triples.merge(names, names).agg(F.count("*").alias("n"))
-
-
-@query("graph_merge_whole", f"WITH {GRAPH} SELECT DISTINCT s, p, o, dt FROM g")
-def graph_merge_whole(spark, sf_dir):
     # the second graph shares the corpus with the first, and lines of one order can repeat
     whole = triples.union(triples.star(spark, sf_dir), triples.corpus(spark, sf_dir))
     merged = triples.merge(whole, triples.corpus(spark, sf_dir))
@@ -217,15 +211,8 @@ def rdfs_closure(spark, sf_dir):
     return triples.rdfs(triples.union(parts, classes, schema)).where((F.col("p") == triples.TYPE)).select("s", "o")
 
 
-@query("skos_broader", f"SELECT '{BASE}supplier/' || s_suppkey AS s, '{BASE}region/' || n_regionkey AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("skos_broader", f"SELECT DISTINCT '{BASE}supplier/' || s_suppkey AS s, '{iri('kb:memberOf')}' AS p, '{BASE}region/' || n_regionkey AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT DISTINCT '{BASE}customer/' || c_custkey, '{iri('kb:memberOf')}', '{BASE}region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def skos_broader(spark, sf_dir):
-    g = triples.star(spark, sf_dir)
-    used = g.where(((F.col("p") == iri("kb:memberOf")) & F.startswith("s", F.lit(f"{BASE}supplier/"))) | (F.col("p") == iri("skos:broader")))
-    return triples.skos(used).where(F.col("p") == iri("kb:memberOf")).select("s", "o")
-
-
-@query("skos_star", f"SELECT DISTINCT '{BASE}supplier/' || s_suppkey AS s, '{iri('kb:memberOf')}' AS p, '{BASE}region/' || n_regionkey AS o FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT DISTINCT '{BASE}customer/' || c_custkey, '{iri('kb:memberOf')}', '{BASE}region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
-def skos_star(spark, sf_dir):
     return triples.skos(triples.star(spark, sf_dir)).select("s", "p", "o")
 
 

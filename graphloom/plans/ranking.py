@@ -88,18 +88,12 @@ def bm25_fuzzy(spark, sf_dir):
 _VOCABULARY = f"WITH t AS ({_TOKENS}), v AS (SELECT term, count(*) AS frequency FROM (SELECT unnest(toks) AS term FROM t) WHERE regexp_full_match(term, '[a-z0-9]+') GROUP BY 1), q(query_term) AS (VALUES {_values(MISSPELT)})"
 
 
-@query("edit_distance_join", f"{_VOCABULARY} SELECT query_term, term, levenshtein(term, query_term) AS distance FROM v, q WHERE length(term) >= 4 AND length(query_term) >= 4 AND abs(length(term) - length(query_term)) <= 2 AND levenshtein(term, query_term) <= 2")
-def edit_distance_join(spark, sf_dir):
-    vocabulary = terms.document_frequency(table(spark, sf_dir, "documents")).where("term RLIKE '^[a-z0-9]+$'")
-    return terms.within_edits(vocabulary, terms.terms_of(MISSPELT), 2).select("query_term", "term", "distance")
-
-
 # the SQL function counts bytes; the asked terms are ASCII, so any other character of a term can be one byte that none of them has
-@query("edit_distance_all", f"""
+@query("edit_distance_join", f"""
 WITH t AS ({_TOKENS}), v AS (SELECT DISTINCT unnest(toks) AS term FROM t), q(query_term) AS (VALUES {_values(MISSPELT)}),
 c AS (SELECT query_term, term, levenshtein(regexp_replace(term, '[^a-z0-9]', '_', 'g'), query_term) AS distance FROM v, q WHERE length(term) >= 4 AND length(query_term) >= 4 AND abs(length(term) - length(query_term)) <= 2)
 SELECT * FROM c WHERE distance <= 2""")
-def edit_distance_all(spark, sf_dir):
+def edit_distance_join(spark, sf_dir):
     vocabulary = terms.document_frequency(table(spark, sf_dir, "documents"))
     return terms.within_edits(vocabulary, terms.terms_of(MISSPELT), 2).select("query_term", "term", "distance")
 
@@ -149,14 +143,14 @@ def related_documents(spark, sf_dir):
 
 
 @query("keyphrases_topk", r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}]+(?:[-''][\p{L}\p{M}\p{Nd}]+)*') AS w FROM documents),
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{M}\p{Nd}]+(?:[-''][\p{L}\p{M}\p{Nd}]+)*') AS w FROM documents),
 r AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k),
 c AS (SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS n FROM r WHERE len(list_filter(w[i : i + k - 1], lambda x: length(x) >= 3)) > 0 GROUP BY 1, 2, 3),
 df AS (SELECT phrase, count(*) AS df FROM c GROUP BY 1),
 s AS (SELECT doc_id, phrase, n, k, round(n * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)::DOUBLE) + 1) * sqrt(k::DOUBLE) * ln(length(phrase) + 1.0::DOUBLE), 6) AS score FROM c JOIN df USING (phrase))
 SELECT doc_id, phrase, n, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k DESC, phrase) AS rank FROM s QUALIFY rank <= 8""")
 def keyphrases_topk(spark, sf_dir):
-    return terms.keyphrases(table(spark, sf_dir, "documents"), normal=False)
+    return terms.keyphrases(table(spark, sf_dir, "documents"))
 
 
 # -- vectors

@@ -16,7 +16,7 @@ def edits(a, b):
 def test_accented_terms_are_matched(spark, tmp_path):
     words = "therre thérre thèrrê inenn ínénn stelp stélp štělp ステルプ erane éràne êrânê erané ther thér érane other".split()
     spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(r) for r in catalog.QUERIES["edit_distance_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalog.QUERIES["edit_distance_join"](spark, str(tmp_path)).collect()]
     asked = terms.terms_of(ranking.MISSPELT)
     want = {(q, w, edits(q, w)) for q in asked for w in words if min(len(q), len(w)) >= 4 and edits(q, w) <= 2}
     assert set(got) == want and len(got) == len(want)

@@ -9,12 +9,12 @@ from graphloom.sources import rdf
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["ntriples_graph", "mermaid_graph", "dot_graph", "edge_order_graph"])
+@pytest.mark.parametrize("name", ["ntriples_lines", "mermaid_edges", "dot_edges", "edge_order"])
 def test_exports_hold_every_kind(spark, name):
     g = triples.union(triples.star(spark, SF), triples.corpus(spark, SF))
     df = catalog.QUERIES[name](spark, SF)
     rows = [" ".join(map(str, r)) for r in df.collect()]
-    assert len(rows) == (g if name == "ntriples_graph" else g.where("o_kind <> 'literal'")).count()
+    assert len(rows) == (g if name == "ntriples_lines" else g.where("o_kind <> 'literal'")).count()
     for kind in ("region", "nation", "supplier", "customer", "part", "order", "line", "document", "turn", "conversation"):
         assert any(f"urn:graphloom:/{kind}/" in r for r in rows), kind
 

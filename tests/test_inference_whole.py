@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_customers_are_members_of_regions(spark):
-    got = {tuple(r) for r in catalog.QUERIES["skos_star"](spark, SF).collect()}
+    got = {tuple(r) for r in catalog.QUERIES["skos_broader"](spark, SF).collect()}
     read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").collect()
     region = {r["n_nationkey"]: f"urn:graphloom:/region/{r['n_regionkey']}" for r in read("nation")}
     p = triples.iri("kb:memberOf")
@@ -17,6 +17,6 @@ def test_customers_are_members_of_regions(spark):
 
 
 def test_merge_returns_the_triples_of_both(spark):
-    got = [tuple(r) for r in catalog.QUERIES["graph_merge_whole"](spark, SF).select("s", "p", "o").collect()]
+    got = [tuple(r) for r in catalog.QUERIES["graph_merge"](spark, SF).select("s", "p", "o").collect()]
     want = {(r["s"], r["p"], r["o"]) for g in (triples.star(spark, SF), triples.corpus(spark, SF)) for r in g.collect()}
     assert len(got) == len(want) and set(got) == want
