@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators.lineage import written
 
 K1, B = 1.2, 0.75
 #: A table of query terms is broadcast up to so many rows, and shuffled beyond.
@@ -225,14 +226,17 @@ def token_distance(docs: DataFrame, query: str, k: int = 3, id_col: str = "doc_i
     return every.select("doc_id", F.round(distance, 6).alias("distance")).orderBy("distance", "doc_id").limit(k)
 
 
-def related(docs: DataFrame, k: int = 3, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, related_id, distance, confidence, rank): the k nearest other texts of each, by tf-idf distance.
+def related(docs: DataFrame, k: int = 3, most: float | None = None, id_col: str = "doc_id", text_col: str = "text", asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, related_id, distance, confidence, rank): the k nearest other texts of each, by tf-idf distance; of those in
+    ``asked`` (a table with ``id_col``) only, where it is given. The join on terms costs the asked texts' terms times the
+    texts that hold them, so with all texts asked it grows with the square of frequent terms.
 
     Pairs with a common term come from a join on terms; where a text has fewer than k such neighbours, those of least
     id without a common term follow at the square root of 2 (unless ``most`` is less).
     """
-    w = weights(docs, "tfidf", id_col, text_col)
-    a, b = w.select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa")), w.select(F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
+    w = written(weights(docs, "tfidf", id_col, text_col))  # read several times
+    mine = w if asked is None else w.join(asked.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    a, b = mine.select(F.col("doc_id").alias("a"), "term", F.col("weight").alias("wa")), w.select(F.col("doc_id").alias("b"), "term", F.col("weight").alias("wb"))
     dots = a.join(b, "term").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     near = dots.select("a", "b", F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot"))), 6).alias("distance"))
     order = Window.partitionBy("a").orderBy("distance", "b")
@@ -241,7 +245,7 @@ def related(docs: DataFrame, k: int = 3, most: float | None = None, id_col: str
     have = near.groupBy("a").agg(F.collect_list("b").alias("has"))
     ids = w.select("doc_id").distinct()
     first = ids.orderBy("doc_id").limit(2 * k + 1).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))
-    short = ids.select(F.col("doc_id").alias("a")).join(have, "a", "left").where(F.coalesce(F.size("has"), F.lit(0)) < k).crossJoin(F.broadcast(first))
+    short = mine.select(F.col("doc_id").alias("a")).distinct().join(have, "a", "left").where(F.coalesce(F.size("has"), F.lit(0)) < k).crossJoin(F.broadcast(first))
     fill = short.select("a", F.explode(F.array_except(F.array_remove(F.col("first"), F.col("a")), F.coalesce("has", F.array().cast(ids.select(F.array("doc_id").alias("x")).schema["x"].dataType)))).alias("b"), F.lit(round(2**0.5, 6)).alias("distance"))
     both = near.select("a", "b", "distance").unionByName(fill).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
     if most is not None:

@@ -137,9 +137,11 @@ def related_segments(spark, sf_dir):
     return terms.related(table(spark, sf_dir, "benchmark"), id_col="item_id")
 
 
-@query("related_documents", ORACLES["related_segments"].replace("item_id AS doc_id", "doc_id").replace("FROM benchmark", "FROM documents"))
+@query("related_documents", ORACLES["related_segments"].replace("item_id AS doc_id", "doc_id").replace("FROM benchmark", "FROM documents").replace("FROM u a JOIN u b USING (term)", "FROM u a JOIN u b USING (term) WHERE a.doc_id % 100 = 0").replace("WHERE a.doc_id <> b.doc_id", "WHERE a.doc_id <> b.doc_id AND a.doc_id % 100 = 0"))
 def related_documents(spark, sf_dir):
-    return terms.related(table(spark, sf_dir, "documents"))
+    # every hundredth text is a query against all
+    docs = table(spark, sf_dir, "documents")
+    return terms.related(docs, asked=docs.where("doc_id % 100 = 0"))
 
 
 @query("keyphrases_topk", r"""

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+from graphloom.operators import terms
 from graphloom.plans import catalog
 
 
@@ -24,10 +25,16 @@ def nearest(texts, k):
     return out
 
 
-def test_every_document_has_related_ones(spark, tmp_path):
-    texts = {1: "red stone path", 2: "red stone path", 3: "red stone wall élan", 4: "blue sea", 5: None, 6: "blue blue sea wall", 7: "alone", 8: "the red sea"}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = catalog.QUERIES["related_documents"](spark, str(tmp_path)).collect()
-    want = nearest(texts, 3)
+TEXTS = {100: "red stone path", 2: "red stone path", 3: "red stone wall élan", 4: "blue sea", 5: None, 6: "blue blue sea wall", 7: "alone", 200: "the red sea"}
+
+
+def alike(rows, want):
     got = {(r["doc_id"], r["rank"]): (r["related_id"], r["distance"]) for r in rows}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_every_text_and_those_asked_have_related_ones(spark, tmp_path):
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = nearest(TEXTS, 3)
+    alike(terms.related(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect(), want)
+    alike(catalog.QUERIES["related_documents"](spark, str(tmp_path)).collect(), {k: v for k, v in want.items() if k[0] % 100 == 0})
