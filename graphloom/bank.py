@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
@@ -20,6 +22,28 @@ from graphloom.streaming import ingest
 MODES = ("graph", "bm25", "semantic", "hybrid")
 
 
+def collected(df: DataFrame, seconds: float = 30.0) -> list[Row]:
+    """The rows of a small result; its jobs are cancelled, and TimeoutError raised, when they take longer."""
+    sc, tag, late = df.sparkSession.sparkContext, f"graphloom-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
 @dataclass
 class KnowledgeGraph:
     """A set of triples and what can be asked of it. Every method gives a lazy DataFrame unless it says otherwise."""
@@ -36,6 +60,18 @@ class KnowledgeGraph:
         """An engine whose SERVICE addresses are other graphs; only allowed ones, by default those given."""
         return Engine(self.triples, {k: g.triples for k, g in services.items()}, allowed=set(services) if allowed is None else allowed)
 
+    @staticmethod
+    def services(*bindings: tuple[str, KnowledgeGraph]) -> dict[str, KnowledgeGraph]:
+        """Graphs by address for ``federated``; an address that isn't absolute, or comes twice, raises ValueError."""
+        out: dict[str, KnowledgeGraph] = {}
+        for address, graph in bindings:
+            if ":" not in address:
+                raise ValueError(f"no absolute address: {address!r}")
+            if address in out:
+                raise ValueError(f"bound twice: {address}")
+            out[address] = graph
+        return out
+
     def merge(self, *others: KnowledgeGraph) -> KnowledgeGraph:
         return KnowledgeGraph(triples.merge(self.triples, *[o.triples for o in others]))
 
@@ -99,11 +135,12 @@ class KnowledgeGraph:
             out.setdefault(r["p"], []).append(r["o"])
         return out
 
-    def search_focused(self, query: str, k: int = 3, related: int = 6, steps: int = 6, index: SemanticIndex | None = None, profile: graph_search.Profile | None = None) -> dict[str, DataFrame]:
+    def search_focused(self, query: str, k: int = 3, related: int = 6, steps: int = 6, index: SemanticIndex | None = None, profile: graph_search.Profile | None = None, primary: DataFrame | None = None) -> dict[str, DataFrame]:
         """Primary matches, what relates to them, what comes next, and the part of the graph that holds all these.
 
-        With a ``profile`` the primary matches are those of a schema search."""
-        first = graph_search.schema_search(self.triples, query, profile, max(1, k)) if profile else self.search(query, "hybrid" if index else "graph", max(1, k), index)
+        With a ``profile`` the primary matches are those of a schema search; ``primary`` (node_id, score) gives others,
+        such as the nearest of a token index."""
+        first = primary if primary is not None else graph_search.schema_search(self.triples, query, profile, max(1, k)) if profile else self.search(query, "hybrid" if index else "graph", max(1, k), index)
         primary = written(first.select("node_id", "score"))  # used four times
         near, following = graph_search.related(self.triples, primary, related), graph_search.next_steps(self.triples, primary, steps)
         every = primary.select("node_id").unionByName(near.select("node_id")).unionByName(following.select("node_id"))

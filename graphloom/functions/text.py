@@ -54,6 +54,11 @@ def fingerprint(path: Column, canonical: Column, content: Column) -> Column:
     return F.upper(F.sha2(F.concat(path, F.lit("\n"), F.coalesce(canonical, F.lit("")), F.lit("\n"), content), 256))
 
 
+def uri_part(text: Column) -> Column:
+    """A text as a part of an address: UTF-8 bytes but letters, digits and -._~ in percent form."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def slug_of(label: str | None) -> str:
     """A label as an identifier: unaccented, lower case, runs of space and hyphen as one hyphen; blank gives ``item``."""
     if label is None or not label.strip():

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import documents, triples
+from graphloom.operators.lineage import shared_folder
 from graphloom.operators.triples import BASE, PREFIXES, iri
 from graphloom.plans.graph_sql import GRAPH
 from graphloom.plans.registry import query, table
 from graphloom.sources import rdf
+from graphloom.sources.stores import FolderStore, load_manifest, save_manifest
 from graphloom.streaming import ingest
 
 TARGET = 120
@@ -132,3 +136,33 @@ def curies(spark, sf_dir):
 @query("slugs", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM part")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.slug(F.col("p_name")).alias("slug"))
+
+
+# -- files
+
+
+def _stored(spark, g, name: str):
+    """A graph written to the shared folder and read again."""
+    store = FolderStore(spark, f"{shared_folder(spark)}/graphloom-files-{uuid.uuid4().hex}")
+    store.save(name, g)
+    return store.load(name)
+
+
+@query("graph_file_round_trip", f"WITH {GRAPH} SELECT DISTINCT s, p, o, dt FROM g")
+def graph_file_round_trip(spark, sf_dir):
+    back = _stored(spark, _graph(spark, sf_dir), "whole.nt")
+    kind = F.when(F.col("o_kind") == "literal", F.coalesce(F.replace("o_dt", F.lit(triples.XSD), F.lit("")), F.lit("string")))
+    return back.select("s", "p", "o", kind.alias("dt"))
+
+
+@query("jsonld_round_trip", f"WITH {GRAPH} SELECT DISTINCT s, p, o, dt FROM g WHERE starts_with(s, '{BASE}part/') OR starts_with(s, '{BASE}order/') OR starts_with(s, '{BASE}line/') OR starts_with(s, '{BASE}region/') OR starts_with(s, '{BASE}nation/') OR starts_with(s, '{BASE}supplier/') OR starts_with(s, '{BASE}customer/')")
+def jsonld_round_trip(spark, sf_dir):
+    back = _stored(spark, triples.star(spark, sf_dir), "star.jsonl")
+    return back.select("s", "p", "o", F.replace("o_dt", F.lit(triples.XSD), F.lit("")).alias("dt"))
+
+
+@query("manifest_round_trip", "SELECT 'documents/' || doc_id || '.md' AS path, upper(sha256('documents/' || doc_id || '.md' || chr(10) || chr(10) || text)) AS fingerprint FROM documents")
+def manifest_round_trip(spark, sf_dir):
+    at = f"{shared_folder(spark)}/graphloom-manifest-{uuid.uuid4().hex}"
+    save_manifest(ingest.manifest(_sources(spark, sf_dir)), at)
+    return load_manifest(spark, at)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import terms, vectors
+from graphloom.operators import entities, terms, triples, vectors
+from graphloom.plans.graph_sql import GRAPH
 from graphloom.plans.registry import ORACLES, query, table, text_index
 
 ASKED = "the theran inen stel"
@@ -89,6 +90,12 @@ _VOCABULARY = f"WITH t AS ({_TOKENS}), v AS (SELECT term, count(*) AS frequency
 
 
 # the SQL function counts bytes; the asked terms are ASCII, so any other character of a term can be one byte that none of them has
+@query("full_text", f"""
+WITH {GRAPH}, t AS (SELECT s AS doc_id, coalesce(regexp_extract_all(lower(array_to_string(list_distinct(list(o)), chr(10))), '[\\p{{L}}\\p{{N}}]+'), []::VARCHAR[]) AS toks FROM g WHERE dt IS NOT NULL GROUP BY s), {_bm25().split("FROM documents), ", 1)[1]}""".replace("SELECT doc_id, score FROM s", "SELECT doc_id AS node_id, score FROM s").replace("ORDER BY score DESC, doc_id", "ORDER BY score DESC, doc_id"))
+def full_text(spark, sf_dir):
+    return entities.full_text(triples.union(triples.star(spark, sf_dir), triples.corpus(spark, sf_dir)), ASKED)
+
+
 @query("edit_distance_join", f"""
 WITH t AS ({_TOKENS}), v AS (SELECT DISTINCT unnest(toks) AS term FROM t), q(query_term) AS (VALUES {_values(MISSPELT)}),
 c AS (SELECT query_term, term, levenshtein(regexp_replace(term, '[^a-z0-9]', '_', 'g'), query_term) AS distance FROM v, q WHERE length(term) >= 4 AND length(query_term) >= 4 AND abs(length(term) - length(query_term)) <= 2)
@@ -115,6 +122,13 @@ def tfidf_weights(spark, sf_dir):
     return terms.weights(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
 
 
+@query("token_weights", f"WITH t AS ({_TOKENS}), {_TF} SELECT doc_id, term, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS tf, round(1 / sqrt(count(*) OVER (PARTITION BY doc_id)), 6) AS present FROM tf")
+def token_weights(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    counts, present = (terms.weights(docs, kind).select("doc_id", "term", F.round("weight", 6).alias(name)) for kind, name in (("tf", "tf"), ("binary", "present")))
+    return counts.join(present, ["doc_id", "term"])
+
+
 @query("token_distance_topk", f"""{_WEIGHTS}, q(term, c) AS (VALUES {", ".join(f"('{t}', 1)" for t in ASKED.split())}),
 qw AS (SELECT term, c * (ln((n_all + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 1) AS qw FROM q LEFT JOIN df USING (term), n),
 s AS (SELECT doc_id, sqrt(sum(w * w)) AS norm, sum(w * coalesce(qw, 0)) AS dot FROM w LEFT JOIN qw USING (term) GROUP BY 1)

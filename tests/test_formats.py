@@ -1,10 +1,12 @@
 import json
+import time
 
 import pytest
 
+from graphloom import bank
 from graphloom.operators import build, documents, shapes, terms, triples
 from graphloom.operators.search import Profile
-from graphloom.sources import rdf, stores
+from graphloom.sources import fragments, rdf, stores
 from graphloom.streaming import ingest
 
 LD = {
@@ -106,3 +108,34 @@ def test_changes_back_to_an_earlier_text_are_seen(spark, tmp_path):
     assert seen == ["A", "B", "A"]
     ingest.compact(spark, str(tmp_path / "m"), str(tmp_path / "m2"))
     assert spark.read.parquet(str(tmp_path / "m2")).count() == 1
+
+
+def test_fragments_are_followed_to_the_last_page(spark):
+    h = "http://www.w3.org/ns/hydra/core#"
+    pages = {f"https://t.example/?page={i}": {"@graph": [{"@id": f"urn:s{i}", "urn:p": [f"v{i}"]}, {"@id": f"https://t.example/?page={i}", h + "totalItems": 3, "urn:about": "the page", **({h + "next": {"@id": f"?page={i + 1}"}} if i < 3 else {})}]} for i in (1, 2, 3)}
+    g = fragments.read(spark, "https://t.example/", [{"page": "1"}], get=pages.__getitem__)
+    assert sorted((r["s"], r["o"]) for r in g.collect()) == [("urn:s1", "v1"), ("urn:s2", "v2"), ("urn:s3", "v3")]
+
+
+def test_a_result_that_takes_too_long_is_cancelled(spark):
+    slow = spark.range(4).repartition(4).mapInPandas(lambda batches: (time.sleep(20) or b for b in batches), "id long")
+    with pytest.raises(TimeoutError):
+        bank.collected(slow, 2)
+    assert len(bank.collected(spark.range(3))) == 3
+    g = bank.KnowledgeGraph(triples.empty(spark))
+    assert set(g.services(("urn:a", g), ("urn:b", g))) == {"urn:a", "urn:b"}
+    for wrong in ([("urn:a", g), ("urn:a", g)], [("plain", g)]):
+        with pytest.raises(ValueError):
+            g.services(*wrong)
+
+
+def test_lines_with_long_literals_and_code_points(spark, tmp_path):
+    long = 'a "quoted" \\ part\n' * 20_000
+    g = triples.of_rows(spark, [("urn:a", "schema:text", long), ("urn:a", "schema:name", "x")])
+    rdf.write(g, str(tmp_path / "g.nt"))
+    assert sorted(map(str, rdf.read(spark, str(tmp_path / "g.nt")).collect())) == sorted(map(str, g.collect()))
+    (tmp_path / "u.nt").write_text('<urn:a> <urn:p> "caf\\u00e9 \\"q\\"" .\n<urn:a> <urn:p> "plain"@en <urn:g> .\n')
+    assert {(r["o"], r["o_lang"]) for r in rdf.read(spark, str(tmp_path / "u.nt")).collect()} == {('café "q"', None), ("plain", "en")}
+    (tmp_path / "bad.nt").write_text('<urn:a> <urn:p> "one" "two" .\n')
+    with pytest.raises(Exception, match="bad line"):
+        rdf.read(spark, str(tmp_path / "bad.nt")).collect()
