@@ -152,7 +152,7 @@ def _stored(spark, g, name: str):
 def graph_file_round_trip(spark, sf_dir):
     back = _stored(spark, _graph(spark, sf_dir), "whole.nt")
     kind = F.when(F.col("o_kind") == "literal", F.coalesce(F.replace("o_dt", F.lit(triples.XSD), F.lit("")), F.lit("string")))
-    return back.select("s", "p", "o", kind.alias("dt"))
+    return back.select("s", "p", "o", kind.alias("dt")).distinct()  # lines of one order can repeat
 
 
 @query("jsonld_round_trip", f"WITH {GRAPH} SELECT DISTINCT s, p, o, dt FROM g WHERE starts_with(s, '{BASE}part/') OR starts_with(s, '{BASE}order/') OR starts_with(s, '{BASE}line/') OR starts_with(s, '{BASE}region/') OR starts_with(s, '{BASE}nation/') OR starts_with(s, '{BASE}supplier/') OR starts_with(s, '{BASE}customer/')")
