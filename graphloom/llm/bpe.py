@@ -35,7 +35,7 @@ from . import kernels as K
 from .lineage import positional
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Pieces that a worker remembers; more are encoded anew in each batch they occur in.
+#: Pieces that a worker remembers; beyond it those are dropped that only one batch had, and encoded anew if they come again.
 _REMEMBERED = 500_000
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
@@ -54,10 +54,10 @@ class Encoder:
     def __init__(self, tokens: list[bytes]) -> None:
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens) if t}
-        self.longest = max(map(len, tokens))
+        self.lengths = list(map(len, tokens))
         self.automaton = ahocorasick.Automaton()
         for t, i in self.rank.items():
-            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            self.automaton.add_word(t.decode("latin-1"), (i, len(t) - 1))
         self.automaton.make_automaton()
         self.split: list[tuple[int, int]] = [(i, i) for i in range(len(tokens))]
         self.merge: dict[tuple[int, int], int] = {}
@@ -76,7 +76,7 @@ class Encoder:
             if pair:
                 self.split[i] = pair
                 self.merge[pair] = i
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both tokens in one number
 
     def _last_pair(self, t: bytes, rank: int) -> tuple[int, int] | None:
         parts = [self.rank[bytes([b])] for b in t]
@@ -94,10 +94,10 @@ class Encoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the text of a and b leaves them side by side."""
-        known = self.fits.get((a, b))
+        first, x, y, limit, ok = a << 32 | b, a, b, 1 << 60, True
+        known = self.fits.get(first)
         if known is not None:
             return known
-        first, x, y, limit, ok = (a, b), a, b, 1 << 60, True
         while True:
             made = self.merge.get((x, y))
             if made is not None and made < limit:
@@ -119,32 +119,31 @@ class Encoder:
                     x = self.split[x][1]
                     if x == limit:
                         break
-        if len(self.fits) < 250_000:
+        if len(self.fits) < 150_000:
             self.fits[first] = ok
         return ok
 
     def longest_matches(self, piece: bytes) -> list[int]:
         """The longest token that starts at each place."""
         out = [-1] * len(piece)
-        for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
-            at = end - length + 1
-            # matches of one start come by their ends, so the last is the longest
-            out[at] = token
+        # matches of one start come by their ends, so the last is the longest
+        for end, (token, back) in self.automaton.iter(piece.decode("latin-1")):
+            out[end - back] = token
         return out
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.rank.get(piece)
         if whole is not None and (len(piece) == 1 or self.split[whole][0] != whole):
             return [whole]
-        match, n, lengths = self.longest_matches(piece), len(piece), self.tokens
+        match, n, lengths, fits = self.longest_matches(piece), len(piece), self.lengths, self.fits.get
         open_ = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, match[0]
         while token >= 0:
             last = out[-1] if out else -1
             while True:
-                end = at + len(lengths[token])
-                if open_[end] and (last < 0 or self.compatible(last, token)):
+                end = at + lengths[token]
+                if open_[end] and (last < 0 or (self.compatible(last, token) if (known := fits(last << 32 | token)) is None else known)):
                     out.append(token)
                     at = end
                     token = match[at] if at < n else -1
@@ -155,7 +154,7 @@ class Encoder:
                     if not out:
                         raise ValueError("bytes outside the vocabulary")
                     token = out.pop()
-                    at -= len(lengths[token])
+                    at -= lengths[token]
                     last = out[-1] if out else -1
                     token = self.shorter[token]
                     while token < 0:
@@ -163,7 +162,7 @@ class Encoder:
                         if not out:
                             raise ValueError("bytes outside the vocabulary")
                         token = out.pop()
-                        at -= len(lengths[token])
+                        at -= lengths[token]
                         last = out[-1] if out else -1
                         token = self.shorter[token]
         return out
@@ -270,9 +269,22 @@ class Codec:
 
     def forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # sorted hashes, and of each the ids and bytes of its piece
-        self.first, self.count, self.place, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.first, self.count, self.place, self.length, self.uses = (np.zeros(0, np.int64) for _ in range(5))
         self.flat, self.raw = np.zeros(0, np.int32), np.zeros(8, np.uint8)
 
+    def trim(self) -> None:
+        """Keeps the pieces that came in several batches, or none if these are too many as well."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > _REMEMBERED * 3 // 4:
+            self.forget()
+            return
+        self.flat = take_ranges(self.flat, self.first[keep], self.count[keep])
+        self.raw = np.concatenate([take_ranges(self.raw, self.place[keep], self.length[keep]), np.zeros(8, np.uint8)])
+        for name in ("known", "count", "length", "uses"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.first, self.place = np.cumsum(self.count) - self.count, np.cumsum(self.length) - self.length
+        self.uses[:] = 1
+
     def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of spans in a row, and how many each has."""
         raw, encode = data.tobytes(), self.encode_piece
@@ -285,7 +297,7 @@ class Codec:
         length = ends - starts
         new = {
             "known": hashes, "first": len(self.flat) + np.cumsum(count) - count, "count": count,
-            "place": len(self.raw) - 8 + np.cumsum(length) - length, "length": length,
+            "place": len(self.raw) - 8 + np.cumsum(length) - length, "length": length, "uses": np.zeros(len(hashes), np.int64),
         }
         self.flat = np.concatenate([self.flat, flat])
         self.raw = np.concatenate([self.raw[:-8], take_ranges(data, starts, length), np.zeros(8, np.uint8)])
@@ -305,11 +317,12 @@ class Codec:
         hashes, where, back = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         new = ~np.isin(hashes, self.known, assume_unique=True)
         if len(self.known) > _REMEMBERED and new.any():
-            self.forget()
-            new[:] = True
+            self.trim()
+            new = ~np.isin(hashes, self.known, assume_unique=True)
         if new.any():
             self._add(data, hashes[new], starts[where[new]], ends[where[new]])
         at = np.searchsorted(self.known, hashes)
+        self.uses[at] += 1
         length = ends - starts
         # each piece against the first of its hash here, and that one against what is remembered
         alike = (length[where] == self.length[at]) & same_bytes(data, starts[where], self.raw, self.place[at], np.minimum(length[where], self.length[at]))
@@ -386,7 +399,7 @@ def count(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.chunks(batch, "text", K.CHUNK_BYTES):
+            for part in K.chunks(batch, "text", K.CHUNK_BYTES // 2):
                 texts = part.column(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codec(path).counts(texts), pa.int64(), mask=texts.is_null().to_numpy(zero_copy_only=False))], names=["doc_id", "n_tokens"])
 

@@ -196,7 +196,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.chunks(batch, "text", K.CHUNK_BYTES):
+            for part in K.chunks(batch, "text", K.CHUNK_BYTES // 2):
                 texts = part.column(1)
                 ids, offsets = bpe.codec(path).encode(texts)
                 blobs, null = encode_many(ids, offsets), texts.is_null()

@@ -100,3 +100,17 @@ def test_decoder_takes_ranges():
     got = bpe.take_ranges(values, np.array([5, 0, 49]), np.array([3, 0, 1]))
     assert got.tolist() == [5, 6, 7, 49]
     assert pa.array(got).type == pa.int64()
+
+
+def test_pieces_that_are_dropped_are_encoded_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "_REMEMBERED", 40)
+    rng = random.Random(6)
+    small, plain = bpe.Codec(bpe.VOCABULARY), bpe.library(bpe.VOCABULARY)
+    for n in range(12):
+        texts = [util.prose(rng, 15, 30) + f" only{n}x" for _ in range(3)]
+        ids, offsets = small.encode(pa.array(texts))
+        data, ends = bpe.decoder(bpe.VOCABULARY).decode(ids.astype(np.int64), offsets)
+        assert [data.tobytes()[a:b].decode() for a, b in zip(ends, ends[1:])] == texts
+        bytes_, starts = bpe.K.flat(pa.array(texts))
+        begin, stop = bpe.pieces(bytes_, starts)
+        assert ids.tolist() == [i for a, b in zip(begin, stop) for i in plain(bytes_.tobytes()[a:b])]
