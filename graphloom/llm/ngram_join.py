@@ -248,7 +248,7 @@ def _postings(texts: DataFrame, n: int, t: float, order: np.ndarray, boundary: i
                     blocks.append(np.repeat(label[lane[rows]], len(i)))
                 held.append((np.concatenate(keys), np.concatenate(sigs), np.concatenate(many).astype(np.int64), np.concatenate(blocks)))
                 count += len(held[-1][0])
-                if count > 3_000_000:
+                if count > 1_500_000:
                     yield pack(*(np.concatenate(x) for x in zip(*held)))
                     held, count = [], 0
         if count:
