@@ -8,6 +8,7 @@ several files by a hash of the document. The vocabulary has a row a term, the do
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,9 +35,7 @@ class TermIndex:
 
     def _of(self, terms: list[str]) -> DataFrame:
         """Postings of some terms."""
-        spark = self.postings.sparkSession
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
-        asked = sorted({r["b"] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(bucket.alias("b")).collect()})
+        asked = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
         return self.postings.where(F.col("bucket").isin(asked) & F.col("term").isin(terms))
 
     def _df(self, terms: list[str]) -> dict[str, int]:
@@ -134,7 +133,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Te
     toks = tokenised(docs, id_col, text_col)
     rows = toks.select("doc_id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term"))
     tf = rows.groupBy("doc_id", "term").agg(F.count("term").cast("int").alias("tf"), F.first("len").alias("len"))
-    bucket: Column = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).cast("int")
+    bucket: Column = F.when(F.col("term").isNull(), -1).otherwise(F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD))
     parts = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     laid = tf.withColumn("bucket", bucket).repartition(parts, "bucket", spread).sortWithinPartitions("bucket", "term")

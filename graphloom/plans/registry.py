@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,9 +32,10 @@ def text_index(spark: SparkSession, sf_dir: str):  # noqa: ANN201
     from graphloom.operators import index
 
     docs = table(spark, sf_dir, "documents")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet")
-    stamp = files.agg(F.count("*"), F.max("modificationTime"), F.sum("length")).first()
-    key = (spark.sparkContext.applicationId, sf_dir, *stamp)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(at)
+    key = (spark.sparkContext.applicationId, sf_dir, fs.getFileStatus(at).getModificationTime(), size.getLength(), size.getFileCount())
     if key not in _INDEXES:
         _INDEXES[key] = index.build(docs)
     return _INDEXES[key]
