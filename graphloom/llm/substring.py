@@ -486,6 +486,24 @@ def cut(text: str | None, begin: np.ndarray, end: np.ndarray) -> str | None:
     return b"".join(out).decode()
 
 
+def _without_repeats(batch: pa.RecordBatch, at: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose last columns are ``doc`` and ``runs``, without these two and with the texts in column ``at`` cut, a
+    chunk of texts at a time."""
+    for part in K.chunks(batch, batch.schema.names[at]):
+        texts, keep = part.column(at).to_pylist(), []
+        for i, (doc, data) in enumerate(zip(part.column("doc").to_pylist(), part.column("runs").to_pylist())):
+            if data is not None:
+                begin, end = _later(np.frombuffer(data, _RUN), doc, length)
+                if len(begin):
+                    texts[i] = cut(texts[i], begin, end)
+                    if not (texts[i] or "").strip(" \t\n\r\x0b\x0c"):
+                        continue
+            keep.append(i)
+        columns = list(part.columns[:-2])
+        columns[at] = pa.array(texts, columns[at].type)
+        yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-2]).take(pa.array(keep, pa.int64()))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``docs`` with the redundant words of every text cut out; a text of which nothing is left goes.
 
@@ -495,23 +513,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
     texts, names = _named(plain, key, text)
     later = repeated_windows(texts, length, seed).select(F.col("doc_id").alias("doc"), "runs")
-    fields = plain.schema.fields
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for i, (doc, data) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("runs").to_pylist())):
-                if data is not None:
-                    begin, end = _later(np.frombuffer(data, _RUN), doc, length)
-                    if len(begin):
-                        texts[i] = cut(texts[i], begin, end)
-                        if not (texts[i] or "").strip(" \t\n\r\x0b\x0c"):
-                            continue
-                keep.append(i)
-            columns = list(batch.columns[: len(fields)])
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(fields)]).take(pa.array(keep, pa.int64()))
+            yield from _without_repeats(batch, at, length)
 
     if names is None:
         joined = plain.join(later, F.col(key).cast("bigint") == F.col("doc"), "left")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import substring as S
@@ -95,3 +97,20 @@ def test_texts_of_one_id_are_cut_each_by_itself(spark):
     assert {tuple(r)[:3] for r in S.repeats(df, "doc.id", "the.text").collect()} == {("1", 0, 60), ("2", 0, 60)}
     numbers = spark.createDataFrame([(1, p), (2, p + " x"), (2, own)], "doc_id long, text string")
     assert sorted(r["text"].strip() for r in S.remove_repeats(numbers).collect()) == sorted([p, "x", own])
+
+
+def test_texts_are_cut_a_chunk_at_a_time():
+    first = " ".join(f"p{k}" for k in range(60))
+    texts = [first, first, *(f"{first} own{i} " + "x" * 20_000 for i in range(2, 600)), None, "alone"]
+    n = len(texts)
+    later = S._packed(np.zeros(1, np.int64), np.array([11]), np.zeros(1, np.int64), np.zeros(1, np.int64)).tobytes()
+    runs = [later] * (n - 2) + [None, None]
+    names = ["c0", "c1", "c2", "doc", "runs"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array(["en"] * n), pa.array(range(n)), pa.array(runs, pa.binary())], names=names)
+    parts = list(S._without_repeats(batch, 1, 50))
+    assert batch.column("c1").nbytes > 5 * S.K.CHUNK_BYTES and max(p.column("c1").nbytes for p in parts) < 1.1 * S.K.CHUNK_BYTES
+    got = pa.Table.from_batches(parts)
+    assert got.column_names == names[:3]
+    # the first keeps its passage, the second has nothing else
+    want = [first, *(f"own{i} " + "x" * 20_000 for i in range(2, 600)), None, "alone"]
+    assert got.column("c1").to_pylist() == want and got.column("c0").to_pylist() == [0, *range(2, n)]
