@@ -1,8 +1,10 @@
 """What the join moves for large tables: counters, candidates and pairs outside of blocks."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
@@ -42,3 +44,32 @@ def test_near_copies_lie_within_blocks(spark):
     _, _, within, across = J._joined(df, "doc_id", "text", J.GRAM, J.THRESHOLD, J.BLOCK, J._LABELS_SENT, False)
     inside, outside = within.count(), across.count()
     assert inside + outside > 10_000 and outside < 0.01 * (inside + outside), (inside, outside)
+
+
+def test_a_task_holds_few_pairs_at_once():
+    n = 3000
+    sig = np.arange(1, n + 1, dtype=np.uint64)
+    met = list(J._meet(np.full(n, 8, np.uint32), sig, np.full(n, 100, np.int64), np.zeros(n, np.uint64), J.THRESHOLD))
+    assert sum(len(x[1]) for x in met) == n * (n - 1) // 2
+    assert max(len(x[1]) for x in met) <= 300_000
+
+
+def test_memory_of_grams_grows_with_the_grams_alone(spark):
+    rng = random.Random(3)
+    texts = pa.chunked_array([pa.array([util.prose(rng, 400, 100_000) for _ in range(2500)])])
+    tracemalloc.start()
+    of, value = J._distinct_grams(texts, J.GRAM)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.diff(of) >= 0).all() and len(np.unique(np.stack([of.astype(np.uint64), value]), axis=1).T) == len(of) > 900_000
+    assert peak < 64 * len(of), peak / len(of)
+    # a task has two pieces at most
+    assert J.PIECE_GRAMS <= 500_000 and J.BLOCK <= 2048
+
+
+def test_two_subsets_of_many_sets_are_made_a_few_at_a_time():
+    sets, grams = 400, 100
+    value = K.mix(np.arange(sets * grams, dtype=np.uint64))
+    made = list(J._subsets(value, np.arange(sets) * grams, np.full(sets, grams), 100, J.THRESHOLD))
+    assert sum(len(rows) for _, rows in made) == sets and {k.shape[1] for k, _ in made} == {47 * 46 // 2}
+    assert len(made) > 1 and max(k.size for k, _ in made) <= J._HELD
