@@ -13,12 +13,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.rows import flat_map
 from graphloom.functions.text import slug_of
 from graphloom.operators import documents, terms
+from graphloom.operators.lineage import written
 from graphloom.operators.search import Profile
 from graphloom.operators.triples import BASE, COLUMNS, PREFIXES, SCHEMA, TYPE, XSD, branch, iri, merge, of_rows, union
 
@@ -187,41 +188,27 @@ def authored(sources: DataFrame, options: Options = Options()) -> DataFrame:
     """Triples of (path, content[, canonical]) rows."""
     canonical = F.col("canonical") if "canonical" in sources.columns else F.lit(None).cast("string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for p, c, k in zip(batch["path"], batch["content"], batch["canonical"]) for r in of_document(p or "", c or "", k or None, options)[0]]
-            yield pd.DataFrame(rows, columns=COLUMNS)
-
-    return sources.select("path", "content", canonical.alias("canonical")).mapInPandas(run, SCHEMA)
+    return flat_map(sources.select("path", "content", canonical.alias("canonical")), lambda p, c, k: of_document(p or "", c or "", k or None, options)[0], SCHEMA)
 
 
 def named(sources: DataFrame, options: Options = Options()) -> DataFrame:
     """(path, doc_id) of (path, content[, canonical]) rows: the node of each document."""
     canonical = F.col("canonical") if "canonical" in sources.columns else F.lit(None).cast("string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for p, c, k in zip(batch["path"], batch["content"], batch["canonical"]):
-                try:
-                    fields, _ = documents.front_matter((c or "").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
-                except ValueError:
-                    fields = {}
-                rows.append((p, document_id(p or "", c or "", fields, k or None, options.base)))
-            yield pd.DataFrame(rows, columns=["path", "doc_id"])
+    def name(p: str | None, c: str | None, k: str | None) -> list[tuple]:
+        try:
+            fields, _ = documents.front_matter((c or "").removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
+        except ValueError:
+            fields = {}
+        return [(p, document_id(p or "", c or "", fields, k or None, options.base))]
 
-    return sources.select("path", "content", canonical.alias("canonical")).mapInPandas(run, "path string, doc_id string")
+    return flat_map(sources.select("path", "content", canonical.alias("canonical")), name, "path string, doc_id string")
 
 
 def diagnostics(sources: DataFrame, options: Options = Options()) -> DataFrame:
     """(path, problem) of authored graph entries that were left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, x) for p, c in zip(batch["path"], batch["content"]) for x in of_document(p or "", c or "", None, options)[1]]
-            yield pd.DataFrame(rows, columns=["path", "problem"])
-
-    return sources.select("path", "content").mapInPandas(run, "path string, problem string")
+    return flat_map(sources.select("path", "content"), lambda p, c: [(p, x) for x in of_document(p or "", c or "", None, options)[1]], "path string, problem string")
 
 
 def reified(g: DataFrame, confidence: float = 1.0) -> DataFrame:
@@ -265,28 +252,24 @@ def token_facts(sources: DataFrame, options: Options = Options(), topics: int =
     """Sections, segments, topics and related segments found in the texts alone."""
     base = options.base
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    fields, body = documents.front_matter((content or "").replace("\r\n", "\n"))
-                except ValueError:
-                    if options.strict:
-                        raise
-                    continue
-                doc, n = document_id(path or "", content or "", fields, None, base), 0
-                for sec in documents.outline(body):
-                    if not sec["text"]:
-                        continue
-                    section = f"{base}token-section/{slug_of(path)}-{sec['ord']}"
-                    for line in (x.strip() for x in sec["text"].split("\n")):
-                        if line:
-                            rows.append((doc, section, sec["heading"] or title_of(path, fields, []), f"{base}token-segment/{slug_of(path)}-{n}", line))
-                            n += 1
-            yield pd.DataFrame(rows, columns=["doc", "section", "heading", "segment", "text"])
-
-    parts = sources.select("path", "content").mapInPandas(split, "doc string, section string, heading string, segment string, text string")
+    def split(path: str, content: str | None) -> Iterator[tuple]:
+        try:
+            fields, body = documents.front_matter((content or "").replace("\r\n", "\n"))
+        except ValueError:
+            if options.strict:
+                raise
+            return
+        doc, n = document_id(path or "", content or "", fields, None, base), 0
+        for sec in documents.outline(body):
+            if not sec["text"]:
+                continue
+            section = f"{base}token-section/{slug_of(path)}-{sec['ord']}"
+            for line in (x.strip() for x in sec["text"].split("\n")):
+                if line:
+                    yield (doc, section, sec["heading"] or title_of(path, fields, []), f"{base}token-segment/{slug_of(path)}-{n}", line)
+                    n += 1
+
+    parts = flat_map(sources.select("path", "content"), split, "doc string, section string, heading string, segment string, text string")
     phrases = terms.keyphrases(parts, topics, id_col="segment")
     topic = F.concat(F.lit(base + "token-topic/"), F.substring(F.sha2("phrase", 256), 1, 16))
     c = F.col
@@ -303,6 +286,8 @@ def token_facts(sources: DataFrame, options: Options = Options(), topics: int =
 def graph(sources: DataFrame, options: Options = Options(), tokens: bool = False, layers: bool = True) -> DataFrame:
     """The whole graph of a table of sources, as a set."""
     parts = [authored(sources, options)]
+    if layers or options.reify:
+        parts[0] = written(parts[0])  # the layers read it several times
     if tokens:
         parts.append(token_facts(sources, options))
     if options.reify:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions import text as X
+from graphloom.functions.rows import flat_map
 from graphloom.sources.yamlish import load_yaml
 
 TARGET, OVERLAP = 750, 0
@@ -27,9 +28,10 @@ _WIDE = re.compile(X.WIDE)
 #: Expected passages of one automaton.
 MOST_PASSAGES = 200_000
 
-SECTION = "struct<ord:bigint,level:int,heading:string,path:array<string>,text:string>"
-LINK = "struct<ord:bigint,kind:string,label:string,target:string,resolved:string,external:boolean>"
-CHUNK = "struct<ord:bigint,section:bigint,path:array<string>,text:string,tokens:bigint>"
+SECTION = "ord bigint, level int, heading string, path array<string>, text string"
+LINK = "ord bigint, kind string, label string, target string, resolved string, external boolean"
+CHUNK = "ord bigint, section bigint, path array<string>, text string, tokens bigint"
+_CHUNK_FIELDS = ("ord", "section", "path", "text", "tokens")
 
 
 def normalised(text: Column) -> Column:
@@ -207,29 +209,25 @@ def links_of(body: str, source: str = "") -> list[dict]:
     return out
 
 
-def _per_text(f: Callable[..., list[dict]], kind: str) -> Callable:
-    def run(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for body, source in texts:
-            yield pd.Series([f(b or "", s or "") for b, s in zip(body, source)])
-
-    return F.pandas_udf(run, f"array<{kind}>")
+def _per_text(docs: DataFrame, f: Callable[..., list[dict]], kind: str, id_col: str, text_col: str, source: Column) -> DataFrame:
+    """The id with each of the records that ``f`` makes of a text and its source."""
+    made = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"), source.alias("source"))
+    return flat_map(made, lambda i, b, s: [(i, *r.values()) for r in f(b or "", s or "")], T.StructType([made.schema["doc_id"], *T.StructType.fromDDL(kind).fields]))
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ord, level, heading, path, text)."""
-    f = _per_text(lambda b, _: outline(b), SECTION)
-    return docs.select(F.col(id_col).alias("doc_id"), F.inline(f(normalised(F.col(text_col)), F.lit(""))))
+    return _per_text(docs, lambda b, _: outline(b), SECTION, id_col, text_col, F.lit(""))
 
 
 def chunks(docs: DataFrame, chunker: Callable[[str], list[dict]] = chunks_of, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ord, section, path, text, tokens) by any chunker of a body."""
-    f = _per_text(lambda b, _: chunker(b), CHUNK)
-    return docs.select(F.col(id_col).alias("doc_id"), F.inline(f(normalised(F.col(text_col)), F.lit(""))))
+    return _per_text(docs, lambda b, _: [{k: c[k] for k in _CHUNK_FIELDS} for c in chunker(b)], CHUNK, id_col, text_col, F.lit(""))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """(doc_id, ord, kind, label, target, resolved, external)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.inline(_per_text(links_of, LINK)(normalised(F.col(text_col)), F.col(path_col) if path_col else F.lit(""))))
+    return _per_text(docs, links_of, LINK, id_col, text_col, F.col(path_col) if path_col else F.lit(""))
 
 
 def segments(docs: DataFrame, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

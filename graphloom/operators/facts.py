@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.rows import flat_map
 from graphloom.functions.text import slug
 from graphloom.operators import triples as T
 from graphloom.operators.build import ALIASES
@@ -46,18 +47,14 @@ def extract(chunks: DataFrame, model: Callable[[str, str], object], doc: str = "
 
     A chunk whose answer can't be read has a problem instead of a payload; a blank chunk isn't asked about."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for d, n, t in zip(batch["doc_id"], batch["ord"], batch["text"]):
-                try:
-                    rows.append((d, n, json.dumps(payload(model(d, t)), ensure_ascii=False), None))
-                except (ValueError, TypeError, AttributeError) as e:
-                    rows.append((d, n, None, str(e)))
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "payload", "problem"])
+    def ask(d: str, n: int, t: str) -> list[tuple]:
+        try:
+            return [(d, n, json.dumps(payload(model(d, t)), ensure_ascii=False), None)]
+        except (ValueError, TypeError, AttributeError) as e:
+            return [(d, n, None, str(e))]
 
     asked = chunks.select(F.col(doc).cast("string").alias("doc_id"), F.col("ord").cast("bigint").alias("ord"), F.col(text).alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    return asked.mapInPandas(run, "doc_id string, ord bigint, payload string, problem string")
+    return flat_map(asked, ask, "doc_id string, ord bigint, payload string, problem string")
 
 
 def cached(chunks: DataFrame, model: Callable[[str, str], object], cache: str, *made_by: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import build, documents, facts, search, shapes, terms, triples
-from graphloom.operators.triples import BASE, iri
+from graphloom.operators.lineage import written
+from graphloom.operators.triples import BASE, COLUMNS, iri
 from graphloom.plans.graph_sql import GRAPH
 from graphloom.plans.registry import query, table
 from graphloom.sources import rdf
@@ -20,12 +21,14 @@ _GROUP = f"'{BASE}id/' || lang || '-group'"
 
 
 def _notes(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").withColumn("w", F.trim(F.regexp_replace("text", "[^A-Za-z ]", " ")))
+    # split and joined: replacing takes four times as long where there is much to replace
+    w = table(spark, sf_dir, "documents").withColumn("w", F.trim(F.array_join(F.split("text", "[^A-Za-z ]", -1), " ")))
     return w.select("doc_id", F.expr("concat('content/', source, '/n', CAST(doc_id AS STRING), '.md')").alias("path"), F.expr(_BODY).alias("body"), F.expr(f"concat({_HEAD}, {_BODY})").alias("content"))
 
 
 def _graph(spark, sf_dir):
-    return build.authored(_notes(spark, sf_dir).select("path", "content"))
+    # as a set, written once: what is built on it reads it several times
+    return written(build.authored(_notes(spark, sf_dir).select("path", "content")).dropDuplicates(COLUMNS))
 
 
 _SECTIONS = f"""{_NOTES}, s AS (
@@ -71,7 +74,7 @@ SELECT {_SCHEME} AS s, '{triples.TYPE}' AS p, '{iri("skos:ConceptScheme")}' AS o
 UNION ALL SELECT s, '{iri("skos:inScheme")}', {_SCHEME} FROM c UNION ALL SELECT s, '{iri("skos:topConceptOf")}', {_SCHEME} FROM c UNION ALL SELECT {_SCHEME}, '{iri("skos:hasTopConcept")}', s FROM c
 UNION ALL SELECT t.s, '{iri("skos:prefLabel")}', o FROM t JOIN c USING (s) WHERE p = '{iri("schema:name")}'""")
 def note_concepts(spark, sf_dir):
-    return build.concepts(_graph(spark, sf_dir).dropDuplicates()).select("s", "p", "o")
+    return build.concepts(_graph(spark, sf_dir)).select("s", "p", "o")
 
 
 @query("note_ontology_documents", f"WITH {_TRIPLES} SELECT s, '{iri('kb:MarkdownDocument')}' AS o FROM t WHERE o = '{iri('schema:Article')}'")
@@ -86,7 +89,7 @@ _RDF = triples.PREFIXES["rdf"]
 @query("note_statements", f"""WITH {_TRIPLES}, l AS (SELECT '_:st' || substr(sha256(s || chr(10) || p || chr(10) || o), 1, 16) AS st, s, p, o FROM t WHERE k = 'iri' AND p <> '{triples.TYPE}')
 SELECT st AS s, '{triples.TYPE}' AS p, '{_RDF}Statement' AS o FROM l UNION ALL SELECT st, '{_RDF}subject', s FROM l UNION ALL SELECT st, '{_RDF}predicate', p FROM l UNION ALL SELECT st, '{_RDF}object', o FROM l UNION ALL SELECT st, '{iri("kb:confidence")}', '1.0' FROM l""")
 def note_statements(spark, sf_dir):
-    return build.reified(_graph(spark, sf_dir).dropDuplicates()).select("s", "p", "o")
+    return build.reified(_graph(spark, sf_dir)).select("s", "p", "o")
 
 
 @query("search_candidates", f"""WITH {_TRIPLES} SELECT {_DOC} AS node_id, 'Note ' || doc_id AS label, 'From ' || source AS description, 'Note ' || doc_id || chr(10) || 'From ' || source || chr(10) AS text FROM n
@@ -114,7 +117,7 @@ def document_scope(spark, sf_dir):
 
 @query("focused_subgraph", f"WITH {_TRIPLES}, d AS (SELECT {_DOC} AS s FROM n WHERE lang = 'fr') SELECT s, p, o FROM t JOIN d USING (s) WHERE k = 'literal' OR p IN ('{iri('prov:wasDerivedFrom')}', '{iri('kb:memberOf')}')")
 def focused_subgraph(spark, sf_dir):
-    g = _graph(spark, sf_dir).dropDuplicates()
+    g = _graph(spark, sf_dir)
     french = g.where((F.col("p") == iri("schema:keywords")) & (F.col("o") == "fr")).select(F.col("s").alias("node_id"))
     return search.subgraph(g, french).select("s", "p", "o")
 
@@ -133,7 +136,7 @@ SELECT DISTINCT node AS s, '{triples.TYPE}' AS p, '{iri("schema:Thing")}' AS o F
 UNION ALL SELECT DISTINCT node, '{iri("prov:wasDerivedFrom")}', doc FROM d UNION ALL SELECT doc, '{iri("prov:wasDerivedFrom")}', doc FROM d UNION ALL SELECT doc, '{iri("schema:mentions")}', node FROM d""")
 def model_facts(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(triples.node("document", F.col("doc_id")).alias("doc_id"), F.lit(0).alias("ord"), "text")
-    found = facts.parsed(facts.extract(chunks, _sizes))
+    found = written(facts.parsed(facts.extract(chunks, _sizes)))  # entities and assertions are read apart
     return facts.as_triples(*facts.merge(facts.entity_rows(found), facts.assertion_rows(found))).select("s", "p", "o")
 
 
