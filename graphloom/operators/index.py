@@ -9,30 +9,47 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from graphloom.functions import text as X
+from graphloom.functions.rows import small_batches
 from graphloom.operators.lineage import written
-from graphloom.operators.terms import BROADCAST_ROWS, _by_score, idf, saturated, small, terms_of, tokenised, within_edits
+from graphloom.operators.terms import BROADCAST_ROWS, _by_score, counted, idf, saturated, small, terms_of, tokenised, within_edits
 
 BUCKETS = 32
 _SPREAD = 4
+#: Entries of the matrix of a batch of queries, beyond which postings are joined instead, and of a block of documents.
+_MATRIX, _BLOCK = 8_000_000, 2_000_000
 
 
 @dataclass
 class TermIndex:
-    """``postings`` (bucket, term, doc_id, tf, len), ``vocabulary`` (term, df, frequency), ``documents`` (doc_id, len, norm)."""
+    """``postings`` (bucket, term, doc_id, tf, len), ``vocabulary`` (term, df, frequency), ``counts`` (doc_id, len, terms,
+    ns), and ``documents`` (doc_id, len, norm), which are made when they are first asked for."""
 
     postings: DataFrame
     vocabulary: DataFrame
-    documents: DataFrame
+    counts: DataFrame
     n: int
     average: float
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        weight = F.col("tf") * (F.log((F.lit(self.n) + 1) / (F.col("df") + 1)) + 1)
+        squares = self.postings.join(self.vocabulary.select("term", "df"), "term").groupBy("doc_id").agg(F.first("len").alias("len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+        blank = self.counts.where("len = 0").select("doc_id", "len", F.lit(0.0).alias("norm"))
+        return written(squares.unionByName(blank))
+
     def _of(self, terms: list[str]) -> DataFrame:
         """Postings of some terms."""
         asked = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
@@ -46,7 +63,7 @@ class TermIndex:
         if k is not None and k <= 0:
             raise ValueError("k must be positive")
         asked = terms_of(query)
-        none = self.documents.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+        none = self.counts.select("doc_id", F.lit(0.0).alias("score")).limit(0)
         if not asked:
             return none
         n, average = F.lit(float(self.n)), F.lit(self.average)
@@ -79,11 +96,50 @@ class TermIndex:
         """(query_id, doc_id, score, rank) of the k best documents for every row of ``queries``."""
         wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.col(query_text)))).alias("term"))
         weighed = wanted.join(self.vocabulary.select("term", "df"), "term").select("query_id", "term", idf(F.lit(float(self.n)), F.col("df").cast("double")).alias("w"))
-        score = F.col("w") * saturated(F.col("tf").cast("double"), F.col("len"), F.lit(self.average))
-        scored = self.postings.join(small(weighed), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score")).where("score > 0")
+        weighed = written(weighed)
+        shape = weighed.agg(F.count("*"), F.count_distinct("query_id") * F.count_distinct("term")).first()
+        if shape[0] and shape[0] <= BROADCAST_ROWS and shape[1] <= _MATRIX:
+            scored = self._products(weighed.toArrow(), k)
+        else:
+            score = F.col("w") * saturated(F.col("tf").cast("double"), F.col("len"), F.lit(self.average))
+            scored = self.postings.join(small(weighed), "term").groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
+        scored = scored.withColumn("score", F.round("score", 6)).where("score > 0")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
         return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
+    def _products(self, weighed: pa.Table, k: int) -> DataFrame:
+        """(query_id, doc_id, score): of every query the documents that may be among its k best, by products of blocks of
+        documents' frequencies with the queries' weights. A task hands on what reaches its own k best so far."""
+        queries = weighed.column("query_id").combine_chunks().dictionary_encode()
+        terms = weighed.column("term").combine_chunks().dictionary_encode()
+        weight = np.zeros((len(terms.dictionary), len(queries.dictionary)))
+        weight[terms.indices.to_numpy(), queries.indices.to_numpy()] = weighed.column("w").to_numpy()
+        spark, average = self.counts.sparkSession, self.average
+        small_batches(spark)
+        shared = spark.sparkContext.broadcast((weight, terms.dictionary, queries.dictionary))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight, known, names = shared.value
+            best = np.zeros((k, weight.shape[1]))
+            step = max(16, _BLOCK // max(weight.shape))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    size = pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False)
+                    place = pc.index_in(part.column("terms").flatten(), value_set=known)
+                    hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(part.num_rows), size)[hit]
+                    tf, length = part.column("ns").flatten().to_numpy()[hit].astype(float), part.column("len").to_numpy()[row]
+                    block = np.zeros((part.num_rows, len(known)))
+                    block[row, place.to_numpy(zero_copy_only=False)[hit].astype(np.int64)] = saturated(tf, length, average)
+                    score = block @ weight
+                    best = np.partition(np.concatenate([best, score]), -k, axis=0)[-k:]
+                    doc, query = np.nonzero((score > 0) & (score >= best.min(0) - 2e-6))  # scores tie when they are rounded
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), part.column("doc_id").take(pa.array(doc)), pa.array(score[doc, query])], names=["query_id", "doc_id", "score"])
+
+        kinds = [T.StructField("query_id", from_arrow_type(queries.dictionary.type)), self.counts.schema["doc_id"], T.StructField("score", T.DoubleType())]
+        return self.counts.mapInArrow(run, T.StructType(kinds))
+
     def corrections(self, query: str, edits: int = 1, best: int = 1, min_length: int = 4) -> DataFrame:
         """(query_term, term, similarity, frequency, rank) for query terms that the corpus lacks."""
         near = within_edits(self.vocabulary.select("term", "frequency"), terms_of(query), edits, min_length)
@@ -129,19 +185,16 @@ class TermIndex:
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TermIndex:
-    """Tokenises every text once; one shuffle by document, one by bucket, one of the vocabulary, one for norms."""
+    """Tokenises and counts every text once, where it lies; one shuffle by bucket and one of the vocabulary."""
     toks = tokenised(docs, id_col, text_col)
-    rows = toks.select("doc_id", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term"))
-    tf = rows.groupBy("doc_id", "term").agg(F.count("term").cast("int").alias("tf"), F.first("len").alias("len"))
-    bucket: Column = F.when(F.col("term").isNull(), -1).otherwise(F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")
+    rows = written(counted(toks))
+    tf = rows.select("doc_id", "len", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("ns").alias("tf"))))
+    bucket: Column = (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD))
     parts = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     laid = tf.withColumn("bucket", bucket).repartition(parts, "bucket", spread).sortWithinPartitions("bucket", "term")
-    every = written(laid.select("term", "doc_id", "tf", "len", "bucket"), "bucket")
-    postings = every.where("bucket >= 0")
+    postings = written(laid.select("term", "doc_id", "tf", "len", "bucket"), "bucket")
     vocabulary = written(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("frequency")))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("average")).first()
-    weight = F.col("tf") * (F.log((F.lit(stats["n"]) + 1) / (F.col("df") + 1)) + 1)
-    squares = postings.join(vocabulary.select("term", "df"), "term").groupBy("doc_id").agg(F.first("len").alias("len"), F.sqrt(F.sum(weight * weight)).alias("norm"))
-    blank = every.where("bucket < 0").select("doc_id", F.lit(0).alias("len"), F.lit(0.0).alias("norm"))
-    return TermIndex(postings, vocabulary, written(squares.unionByName(blank)), stats["n"], float(stats["average"] or 0.0))
+    # rows that repeat an id count apart
+    stats = (rows if rows.count() == docs.count() else toks.select(F.size("tokens").alias("len"))).agg(F.count("*").alias("n"), F.avg("len").alias("average")).first()
+    return TermIndex(postings, vocabulary, rows, stats["n"], float(stats["average"] or 0.0))
